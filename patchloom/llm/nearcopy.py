@@ -89,7 +89,7 @@ def banded(chunks: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 h = K.mix(h ^ (sig[:, :, k] * np.uint64(0x9E3779B97F4A7C15)))
             yield _batch(h.ravel().view(np.int64), np.repeat(own, bands), None, None)
 
-    return chunks.where("length(text) > 0").select("chunk_id", "repo_key", "text").mapInArrow(sign, "band long, content long, chunk_id string, repo_key string")
+    return chunks.where("length(text) > 0 and chunk_id is not null").select("chunk_id", "repo_key", "text").mapInArrow(sign, "band long, content long, chunk_id string, repo_key string")
 
 
 def _batch(band, content, chunk_id, repo_key) -> pa.RecordBatch:
@@ -107,7 +107,8 @@ def near_copies(code_chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[D
 
     Null, empty and blank texts and texts under four tokens have no content and no
     pair; chunks with the same set of runs share one content, so copies are never
-    paired with each other here; repeated rows count once.
+    paired with each other here; repeated rows count once; rows without chunk_id
+    are left out.
     """
     found = keep(banded(code_chunks))
     members = found.where("band is null and content <> 0").select("chunk_id", "repo_key", "content").distinct()

@@ -102,7 +102,7 @@ def _batch(content, n, side, rows, grams, chunk_id, repo_key) -> pa.RecordBatch:
 def near_chunk_pairs(cases: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """Near-same pairs of contents (a of an evaluation chunk, b of a training chunk; both, n_a, n_b), and members: which chunk and case has which content on which side."""
     sides = keep(cases.where("split is not null").select(F.col("case_id").alias("repo_key"), F.when(F.col("split") == "train", TRAIN).otherwise(EVAL).cast("byte").alias("side")))
-    placed = chunks.where("length(text) > 0").select("chunk_id", "repo_key", "text").join(light(sides), "repo_key")
+    placed = chunks.where("length(text) > 0 and chunk_id is not null").select("chunk_id", "repo_key", "text").join(light(sides), "repo_key")
     found = keep(rare_runs(placed, run_counts(placed.where(F.col("side") == EVAL), buckets), threshold))
     members = found.where("gram is null and n > 0").select("chunk_id", "repo_key", "content", "side").distinct()
     runs = found.where("gram is not null")
