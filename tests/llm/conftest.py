@@ -53,8 +53,8 @@ def cases_rows():
         split = [None, "train", "train", "validation", "test", "train", "train"][c % 7]
         group = None if c % 6 == 0 else f" g{c % 10} " if c % 4 == 0 else f"G{c % 10}"
         path = [f"/a/defects_db/G{c % 10}/case{c}/buggy.py", f"D:\\x\\DEFECTS_DB\\G{c % 10}\\.\\case{c}\\buggy.py ", f"./defects_db/G{c % 10}/tmp/../case{c}//buggy.py"][c % 3]
-        if c == 8:
-            path = "file:///z/defects_db/g7/CASE7/buggy.py"
+        if c == 10:
+            path = "file:///z/defects_db/g8/CASE8/buggy.py"
         rows.append([f"G{c % 10}/case{c}", group, split and spell[split][c % len(spell[split])], path])
     rows.append(["G1/case1", "g1", "Training", "/other/defects_db/G1/./case1/buggy.py"])
     rows += [["G9/lost", None, None, None], [None, "G1", "test", None]]

@@ -31,7 +31,7 @@ def test_ids_are_the_tokenizers(spark, tokenizer):
         assert back[r.doc_id] == text
         assert sum(r.sizes) == len(r.ids) and len(r.words) == len(r.sizes) and sorted(set(r.words)) == r.words
         at = 0
-        for w, n, end in zip(r.words, r.sizes, [*r.words[1:], len(text)], strict=True):
+        for w, n, end in zip(r.words, r.sizes, [*r.words, len(text)][1:], strict=True):
             assert tokenizer.encode(text[w:end], add_special_tokens=False).ids == r.ids[at : at + n]
             at += n
 
