@@ -19,5 +19,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", warehouse).config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    from patchloom.session import ship
+
+    yield ship(session)
     session.stop()
