@@ -71,6 +71,19 @@ def minimal_edits(a: str, b: str) -> list[dict]:
     return [{"file": "buggy.py", "start": i + 1, "end": max(i + 1, j), "replacement": "\n".join(new[k:n])} for tag, i, j, k, n in opcodes(a, b) if tag != "equal"]
 
 
+def unified(a: str, b: str, context: int = 2) -> list[str]:
+    return list(difflib.unified_diff(lines_of(a), lines_of(b), "before", "after", lineterm="", n=context))
+
+
+def side_by_side(a: str, b: str) -> list[dict]:
+    """Rows of kind, left, right (line numbers from 1, or none) for a display beside each other."""
+    rows = []
+    for tag, i, j, k, n in difflib.SequenceMatcher(None, lines_of(a), lines_of(b)).get_opcodes():
+        for step in range(max(j - i, n - k)):
+            rows.append({"kind": tag, "left": i + step + 1 if i + step < j else None, "right": k + step + 1 if k + step < n else None})
+    return rows
+
+
 def interfaces(text: str) -> set[tuple[str, ...]]:
     """Positional arguments of every plain function named run."""
     tree, _ = parse(text)
@@ -202,6 +215,15 @@ def compared(df: DataFrame, keys: list[str], before: str, after: str) -> DataFra
     return per_row(df, keys, [before, after], make, "ast_ok boolean, parse_error string, drift double, touched array<int>, deleted int, added int, modified int")
 
 
+def diffs(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """keys, diff (a unified diff with two lines of context, as one text), edits (how many minimal edits lead from before to after), rows (of a display side by side)."""
+
+    def make(a: str, b: str) -> dict:
+        return {"diff": "\n".join(unified(a, b)), "edits": len(minimal_edits(a, b)), "rows": len(side_by_side(a, b))}
+
+    return per_row(df, keys, [before, after], make, "diff string, edits int, rows int")
+
+
 def analysed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, ast_ok, findings (array of rule and line as "rule:line")."""
 

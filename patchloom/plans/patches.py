@@ -96,6 +96,11 @@ def q_diff(spark: SparkSession, d: str) -> DataFrame:
     return code.compared(_donors(spark, d), ["donor_id"], "buggy_chunk", "fixed_chunk")
 
 
+def q_unified_diff(spark: SparkSession, d: str) -> DataFrame:
+    """A donor's texts as a diff, by sequence comparison."""
+    return code.diffs(_donors(spark, d), ["donor_id"], "buggy_chunk", "fixed_chunk")
+
+
 def q_analyzer(spark: SparkSession, d: str) -> DataFrame:
     """Static findings of every chunk."""
     return code.analysed(latest(table(spark, d, "code_chunks"), ["chunk_id"], ["text"]).where("text is not null"), ["chunk_id"], "text")
@@ -122,7 +127,7 @@ def q_refine_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     every = (
-        q_identifier_jaccard, q_apply_edits, q_edit_size, q_region_filter, q_lines_prf1, q_regex_guards, q_order_guard, q_rule_rewrites, q_pattern_lines, q_leak_free_pool, q_diff, q_analyzer, q_guards, q_refine_replay,
+        q_identifier_jaccard, q_apply_edits, q_edit_size, q_region_filter, q_lines_prf1, q_regex_guards, q_order_guard, q_rule_rewrites, q_pattern_lines, q_leak_free_pool, q_diff, q_unified_diff, q_analyzer, q_guards, q_refine_replay,
     )
     return {f.__name__: f for f in every}
 

@@ -136,10 +136,33 @@ def q_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.ranking_metrics(hits, gold, "donor_id", "chunk_id")
 
 
+def q_select_k(spark: SparkSession, d: str) -> DataFrame:
+    """Four hits of each query by the balanced selection."""
+    return retrieval.select_k(_hits(spark, d).withColumn("score", F.round("score", 9)), "donor_id", 4)
+
+
+def q_pool_union(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best by BM25 and the ten best by the prior as one pool per query, without repetitions."""
+    hits = _hits(spark, d)
+    prior = retrieval.syntax_prior(F.coalesce("text", F.lit("")), F.coalesce("symbol", F.lit("")))
+    columns = ("donor_id", "chunk_id", "file", "start", "end", "pool_rank")
+    again = retrieval.top(hits.withColumn("score", retrieval.with_prior(F.round("score", 9), prior)).drop("pool_rank"), "donor_id", "chunk_id", 10)
+    return retrieval.merge_pools([hits.where("pool_rank <= 10").select(*columns), again.select(*columns)], "donor_id").select("donor_id", "chunk_id", "pool_rank")
+
+
+def q_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    """Two exemplars for every case from other training cases of its group."""
+    cases = latest(table(spark, d, "all_cases"), ["case_id"], ["case_group", "split"])
+    grp = F.lower(F.trim(F.coalesce("case_group", F.split_part("case_id", F.lit("/"), F.lit(1)))))
+    known = cases.select("case_id", grp.alias("grp"), F.coalesce(F.lower(F.trim("split")).startswith("tr"), F.lit(False)).alias("is_train"))
+    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["case_id", "buggy_chunk"]).where("length(buggy_chunk) > 0")
+    return retrieval.exemplars(donors, known)
+
+
 def queries() -> dict:
     every = (
         q_split_lines, q_token_counts, q_top_tokens, q_window_chunks, q_adaptive_chunks, q_syntax_chunks, q_doc_freq, q_corpus_stats, q_bm25_topk, q_hybrid_topk,
-        q_prior_topk, q_select_balanced, q_select_coverage, q_focus_span, q_retrieval_metrics,
+        q_prior_topk, q_select_balanced, q_select_coverage, q_focus_span, q_retrieval_metrics, q_select_k, q_pool_union, q_exemplars,
     )
     return {f.__name__: f for f in every}
 
@@ -196,6 +219,13 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT donor_id, chunk_id, len(l) AS n, list_filter(range(1, greatest(1, len(l)) + 1), lambda i: coalesce(regexp_matches(l[i], '{retrieval.FOCUS}'), false)) AS m FROM t),
             s AS (SELECT *, greatest(1, list_min(m) - 3) AS lo, least(n, list_max(m) + 3) AS hi, greatest(1, (1 + greatest(1, n)) // 2 - 12) AS mid FROM m)
             SELECT donor_id, chunk_id, CASE WHEN len(m) = 0 THEN mid ELSE lo END AS lo, CASE WHEN len(m) = 0 THEN least(n, mid + 23) ELSE least(hi, lo + 23) END AS hi, len(m) AS telling FROM s""",
+        "q_pool_union": f"""{_hits_sql()}, x AS (SELECT *, lower(coalesce(text, '') || ' ' || coalesce(symbol, '')) AS x FROM hits),
+            y AS (SELECT donor_id, chunk_id, file, s, e, score * (1 + 0.5 * {prior}) AS score FROM x), a AS (SELECT donor_id, chunk_id, file, s, e, pool_rank, 1 AS src FROM {S.pool(10, 'y')}),
+            u AS (SELECT donor_id, chunk_id, file, s, e, pool_rank, 0 AS src FROM hits WHERE pool_rank <= 10 UNION ALL SELECT * FROM a),
+            k AS (SELECT *, row_number() OVER (PARTITION BY donor_id, file, s, e ORDER BY src, pool_rank) AS i FROM u) SELECT donor_id, chunk_id, row_number() OVER (PARTITION BY donor_id ORDER BY src, pool_rank) AS pool_rank FROM k WHERE i = 1""",
+        "q_exemplars": f"""WITH c AS (SELECT case_id, lower(trim(coalesce(case_group, split_part(case_id, '/', 1)))) AS grp, coalesce(lower(trim(split)) LIKE 'tr%', false) AS is_train FROM {S.CASES}),
+            o AS (SELECT grp, o.case_id AS donor_case, min(donor_id) AS donor_id FROM {S.DONORS} o JOIN c USING (case_id) WHERE is_train AND length(buggy_chunk) > 0 GROUP BY ALL),
+            p AS (SELECT c.case_id, donor_id, row_number() OVER (PARTITION BY c.case_id ORDER BY donor_id) AS place FROM c JOIN o USING (grp) WHERE c.case_id <> donor_case) SELECT case_id, place, donor_id FROM p WHERE place <= 2""",
         "q_retrieval_metrics": f"""WITH {S.bm25()}, h AS {S.pool(10)}, g AS (SELECT donor_id, chunk_id FROM {S.DONORS} x JOIN c ON c.repo_key = x.case_id WHERE donor_id % 20 = 0),
             fo AS (SELECT donor_id, count(*) AS found, min(pool_rank) AS first, sum(1 / log2(pool_rank + 1)) AS dcg FROM h JOIN g USING (donor_id, chunk_id) GROUP BY donor_id),
             sz AS (SELECT donor_id, count(*) AS golds FROM g GROUP BY donor_id)

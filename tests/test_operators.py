@@ -180,3 +180,32 @@ def test_files(spark, tmp_path):
         files.read_results(spark, str(tmp_path / "r.csv"), ("case", "nothing"))
     files.write_csv(members.limit(0), str(tmp_path / "out"))
     assert "| a | train |" in files.markdown(members.where("case_id = 'a'"), "Members")
+
+
+def test_general_selection_starts_like_the_pair(spark):
+    rng = random.Random(8)
+    rows = []
+    for q in range(25):
+        scores = sorted((round(rng.random() * 9, 3) for _ in range(12)), reverse=True)
+        for r, s in enumerate(scores, 1):
+            start = rng.randint(1, 30)
+            rows.append((q, r, s, 0.0, f"f{rng.randint(0, 2)}", rng.choice(["a", "b", None]), start, start + rng.randint(0, 12)))
+    pool = spark.createDataFrame(rows, "q int, pool_rank int, score double, re_score double, file string, symbol string, start int, end int")
+    two = {(r.q, r.sel): r.pool_rank for r in retrieval.select_two(pool, "q").collect()}
+    k = {(r.q, r.sel): r.pool_rank for r in retrieval.select_k(pool, "q", 4).collect()}
+    assert {x: k[x] for x in two} == two and len(k) == 100
+
+
+def test_pools_merge_and_refill(spark):
+    schema = "q int, pool_rank int, file string, start int, end int"
+    a = spark.createDataFrame([(1, 1, "x", 1, 2), (1, 2, "donor:y", 1, 2)], schema)
+    b = spark.createDataFrame([(1, 1, "x", 1, 2), (1, 2, "z", 1, 2)], schema)
+    merged = retrieval.merge_pools([a, b], "q")
+    assert [(r.file, r.pool_rank) for r in merged.orderBy("pool_rank").collect()] == [("x", 1), ("donor:y", 2), ("z", 3)]
+    assert [(r.file, r.sel) for r in retrieval.own_files(merged, "q", 2).orderBy("sel").collect()] == [("x", 1), ("z", 2)]
+
+
+def test_diffs(spark):
+    df = spark.createDataFrame([(1, "a\nb", "a\nc\nd"), (2, None, "x"), (3, "same", "same")], "k int, a string, b string")
+    got = {r.k: (r.diff.count("\n+"), r.edits, r.rows) for r in code.diffs(df, ["k"], "a", "b").collect()}
+    assert got == {1: (3, 1, 3), 2: (2, 1, 1), 3: (0, 0, 1)}
