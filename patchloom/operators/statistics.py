@@ -1,4 +1,9 @@
-"""Paired comparisons of two methods: frames, effect sizes, ranks and resampling by hash."""
+"""Paired comparisons of two methods: frames, effect sizes, ranks and resampling by hash.
+
+Scores have few digits, so means and percentiles often lie exactly between two
+rounded values; they are moved by 1e-9 before rounding, for every engine and
+order of summation to round them alike.
+"""
 
 from __future__ import annotations
 
@@ -21,8 +26,8 @@ def summary(pairs: DataFrame) -> DataFrame:
     sd = F.stddev_samp("diff")
     t = F.when(sd > 1e-12, F.avg("diff") / (sd / F.sqrt(F.count("*"))))
     return pairs.agg(
-        F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg("b"), 6).alias("mean_b"), F.round(F.avg("diff"), 6).alias("mean_diff"),
-        F.round(sd, 6).alias("sd_diff"), F.round(F.percentile("diff", F.lit(0.5)), 6).alias("median_diff"), F.round(t, 5).alias("t"), F.round(F.when(sd > 1e-12, F.avg("diff") / sd), 5).alias("dz"),
+        F.count("*").alias("n"), F.round(F.avg("a") + 1e-9, 6).alias("mean_a"), F.round(F.avg("b") + 1e-9, 6).alias("mean_b"), F.round(F.avg("diff") + 1e-9, 6).alias("mean_diff"),
+        F.round(sd + 1e-9, 6).alias("sd_diff"), F.round(F.percentile("diff", F.lit(0.5)) + 1e-9, 6).alias("median_diff"), F.round(t, 5).alias("t"), F.round(F.when(sd > 1e-12, F.avg("diff") / sd), 5).alias("dz"),
         F.count_if(F.col("diff") > 0).alias("wins"), F.count_if(F.col("diff") < 0).alias("losses"), F.count_if(F.col("diff") == 0).alias("ties"),
     )
 
@@ -82,7 +87,7 @@ def leave_one_out(pairs: DataFrame, key: str) -> DataFrame:
     same = F.col("pos") - positive.cast("int")
     shift = F.when(F.col("diff") == 0, 0.0).otherwise(F.when(positive, F.col("avg_rank")).otherwise(0.0) + F.col("above") + 0.5 * same)
     return joined.select(
-        key, (F.col("n") - 1).alias("n"), F.round(F.when(F.col("n") > 1, (F.col("s") - F.col("diff")) / (F.col("n") - 1)), 6).alias("mean"),
+        key, (F.col("n") - 1).alias("n"), F.round(F.when(F.col("n") > 1, (F.col("s") - F.col("diff")) / (F.col("n") - 1)) + 1e-9, 6).alias("mean"),
         (F.col("w") - positive.cast("int")).alias("wins"), (F.col("l") - (F.col("diff") < 0).cast("int")).alias("losses"), (F.col("t") - (F.col("diff") == 0).cast("int")).alias("ties"),
         F.round(F.col("w_plus") - shift, 4).alias("w_plus"),
     )
@@ -108,7 +113,7 @@ def bootstrap(pairs: DataFrame, key: str, iterations: int = ITERATIONS, seed: in
     """it, n, mean of a resample in which each pair has a Poisson(1) number of copies: no index, no order, no driver."""
     copies = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
     weighed = iterated(pairs, key, iterations, seed).withColumn("copies", copies)
-    return weighed.groupBy("it").agg(F.sum("copies").alias("n"), F.round(F.sum(F.col("copies") * F.col("diff")) / F.nullif(F.sum("copies"), F.lit(0)), 6).alias("mean"))
+    return weighed.groupBy("it").agg(F.sum("copies").alias("n"), F.round(F.sum(F.col("copies") * F.col("diff")) / F.nullif(F.sum("copies"), F.lit(0)) + 1e-9, 6).alias("mean"))
 
 
 def sign_flips(pairs: DataFrame, key: str, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:

@@ -71,7 +71,7 @@ def q_hash_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def q_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     b = statistics.bootstrap(_pairs(spark, d), "case_id")
-    return b.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("hi"))
+    return b.agg(F.round(F.avg("mean") + 1e-9, 6).alias("mean"), F.round(F.percentile("mean", F.lit(0.025)) + 1e-9, 6).alias("lo"), F.round(F.percentile("mean", F.lit(0.975)) + 1e-9, 6).alias("hi"))
 
 
 def q_sign_flip(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def q_sign_flip(spark: SparkSession, d: str) -> DataFrame:
     flips = statistics.sign_flips(pairs, "case_id").crossJoin(F.broadcast(seen))
     return flips.agg(
         F.round((F.count_if(F.col("mean") >= F.col("seen")) + 1) / (F.count("*") + 1), 6).alias("p_one"), F.round((F.count_if(F.abs("mean") >= F.abs("seen")) + 1) / (F.count("*") + 1), 6).alias("p_two"),
-        F.round(F.avg("mean"), 6).alias("null_mean"), F.round(F.stddev_samp("mean"), 6).alias("null_sd"),
+        F.round(F.avg("mean") + 1e-9, 6).alias("null_mean"), F.round(F.stddev_samp("mean") + 1e-9, 6).alias("null_sd"),
     )
 
 
@@ -89,8 +89,8 @@ def q_half_split(spark: SparkSession, d: str) -> DataFrame:
     """How often both halves are positive or agree in sign, and how their means correlate."""
     h = statistics.halves(_pairs(spark, d), "case_id")
     return h.agg(
-        F.round(F.avg(((F.col("first") > 0) & (F.col("second") > 0)).cast("double")), 6).alias("both_positive"),
-        F.round(F.avg((F.signum("first") == F.signum("second")).cast("double")), 6).alias("same_sign"), F.round(F.corr("first", "second"), 5).alias("correlation"),
+        F.round(F.avg(((F.col("first") > 0) & (F.col("second") > 0)).cast("double")) + 1e-9, 6).alias("both_positive"),
+        F.round(F.avg((F.signum("first") == F.signum("second")).cast("double")) + 1e-9, 6).alias("same_sign"), F.round(F.corr("first", "second"), 5).alias("correlation"),
     )
 
 
@@ -99,8 +99,8 @@ def q_subsample(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
     out = None
     for share in (0.25, 0.5, 0.75):
-        s = statistics.subsamples(pairs, "case_id", share).agg(F.lit(share).alias("share"), F.round(F.avg((F.col("mean") > 0).cast("double")), 6).alias("positive"), F.round(F.avg("mean"), 6).alias("mean"),
-            F.round(F.percentile("mean", F.lit(0.05)), 6).alias("p05"), F.round(F.percentile("mean", F.lit(0.95)), 6).alias("p95"))
+        s = statistics.subsamples(pairs, "case_id", share).agg(F.lit(share).alias("share"), F.round(F.avg((F.col("mean") > 0).cast("double")) + 1e-9, 6).alias("positive"), F.round(F.avg("mean") + 1e-9, 6).alias("mean"),
+            F.round(F.percentile("mean", F.lit(0.05)) + 1e-9, 6).alias("p05"), F.round(F.percentile("mean", F.lit(0.95)) + 1e-9, 6).alias("p95"))
         out = s if out is None else out.union(s)
     return out
 
@@ -108,7 +108,7 @@ def q_subsample(spark: SparkSession, d: str) -> DataFrame:
 def q_method_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Per method: n, mean and a 95 % interval; no width for one value."""
     se = F.when(F.count("lines_f1") > 1, F.stddev_samp("lines_f1") / F.sqrt(F.count("lines_f1"))).otherwise(0.0)
-    return _results(spark, d).groupBy("method").agg(F.count("lines_f1").alias("n"), F.round(F.avg("lines_f1"), 6).alias("mean"), F.round(F.avg("lines_f1") - 1.96 * se, 6).alias("lo"), F.round(F.avg("lines_f1") + 1.96 * se, 6).alias("hi"))
+    return _results(spark, d).groupBy("method").agg(F.count("lines_f1").alias("n"), F.round(F.avg("lines_f1") + 1e-9, 6).alias("mean"), F.round(F.avg("lines_f1") - 1.96 * se, 6).alias("lo"), F.round(F.avg("lines_f1") + 1.96 * se, 6).alias("hi"))
 
 
 def q_ecdf(spark: SparkSession, d: str) -> DataFrame:
@@ -122,8 +122,8 @@ def q_difference_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_quartiles(spark: SparkSession, d: str) -> DataFrame:
-    p = [F.round(F.percentile("lines_f1", F.lit(x)), 6).alias(n) for x, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
-    return _results(spark, d).groupBy("method").agg(*p, F.round(F.avg("lines_f1"), 6).alias("mean"), F.min("lines_f1").alias("least"), F.max("lines_f1").alias("most"))
+    p = [F.round(F.percentile("lines_f1", F.lit(x)) + 1e-9, 6).alias(n) for x, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
+    return _results(spark, d).groupBy("method").agg(*p, F.round(F.avg("lines_f1") + 1e-9, 6).alias("mean"), F.min("lines_f1").alias("least"), F.max("lines_f1").alias("most"))
 
 
 def q_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -190,14 +190,14 @@ def _iterated(seed: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     copies = " + ".join(f"CASE WHEN u >= {p} THEN 1 ELSE 0 END" for p in statistics.POISSON)
-    boot = _iterated(7) + f", w AS (SELECT it, diff, {copies} AS copies FROM i), b AS (SELECT it, sum(copies)::BIGINT AS n, round(sum(copies * diff) / nullif(sum(copies), 0), 6) AS mean FROM w GROUP BY it)"
+    boot = _iterated(7) + f", w AS (SELECT it, diff, {copies} AS copies FROM i), b AS (SELECT it, sum(copies)::BIGINT AS n, round(sum(copies * diff) / nullif(sum(copies), 0) + 1e-9, 6) AS mean FROM w GROUP BY it)"
     sub = " UNION ALL ".join(
-        f"SELECT {s} AS share, round(avg((mean > 0)::INT), 6) AS positive, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.05), 6) AS p05, round(quantile_cont(mean, 0.95), 6) AS p95 FROM (SELECT it, round(avg(diff), 9) AS mean FROM i WHERE u < {s} GROUP BY it)"
+        f"SELECT {s} AS share, round(avg((mean > 0)::INT) + 1e-9, 6) AS positive, round(avg(mean) + 1e-9, 6) AS mean, round(quantile_cont(mean, 0.05) + 1e-9, 6) AS p05, round(quantile_cont(mean, 0.95) + 1e-9, 6) AS p95 FROM (SELECT it, round(avg(diff), 9) AS mean FROM i WHERE u < {s} GROUP BY it)"
         for s in (0.25, 0.5, 0.75)
     )
     return {
         "q_paired_pivot": _PAIRS + " SELECT * FROM p",
-        "q_paired_summary": _PAIRS + """ SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(diff), 6) AS mean_diff, round(stddev_samp(diff), 6) AS sd_diff, round(quantile_cont(diff, 0.5), 6) AS median_diff,
+        "q_paired_summary": _PAIRS + """ SELECT count(*) AS n, round(avg(a) + 1e-9, 6) AS mean_a, round(avg(b) + 1e-9, 6) AS mean_b, round(avg(diff) + 1e-9, 6) AS mean_diff, round(stddev_samp(diff) + 1e-9, 6) AS sd_diff, round(quantile_cont(diff, 0.5) + 1e-9, 6) AS median_diff,
             round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 5) AS t, round(avg(diff) / stddev_samp(diff), 5) AS dz, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties FROM p""",
         "q_cliffs_delta": _PAIRS + """, x AS (SELECT sum((p.a > q.b)::INT)::BIGINT AS greater, sum((p.a < q.b)::INT)::BIGINT AS less, count(*) AS n FROM p, p q), e AS (SELECT *, (greater - less) / n AS delta FROM x)
             SELECT greater, less, round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM e""",
@@ -205,19 +205,19 @@ def oracle_sql() -> dict[str, str]:
         "q_wilcoxon": _RANKS + """, t AS (SELECT coalesce(sum(m * m * m - m), 0)::DOUBLE AS ties FROM (SELECT DISTINCT abs(diff), m FROM s)), w AS (SELECT count(*) AS n, coalesce(sum(avg_rank) FILTER (diff > 0), 0)::DOUBLE AS w_plus, coalesce(sum(avg_rank) FILTER (diff < 0), 0)::DOUBLE AS w_minus FROM s)
             SELECT n, w_plus, w_minus, ties, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM w, t""",
         "q_leave_one_out": _PAIRS + """, o AS (SELECT x.case_id AS dropped, y.case_id, y.diff FROM p x JOIN p y ON x.case_id <> y.case_id), k AS (SELECT *, CASE WHEN diff <> 0 THEN rank() OVER (PARTITION BY dropped, diff = 0 ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY dropped, diff = 0, abs(diff)) - 1) / 2.0 END AS rk FROM o)
-            SELECT dropped AS case_id, count(*) AS n, round(avg(diff), 6) AS mean, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties, round(coalesce(sum(rk) FILTER (diff > 0), 0), 4) AS w_plus FROM k GROUP BY dropped""",
+            SELECT dropped AS case_id, count(*) AS n, round(avg(diff) + 1e-9, 6) AS mean, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties, round(coalesce(sum(rk) FILTER (diff > 0), 0), 4) AS w_plus FROM k GROUP BY dropped""",
         "q_hash_bootstrap": boot + " SELECT * FROM b",
-        "q_bootstrap_interval": boot + " SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM b",
+        "q_bootstrap_interval": boot + " SELECT round(avg(mean) + 1e-9, 6) AS mean, round(quantile_cont(mean, 0.025) + 1e-9, 6) AS lo, round(quantile_cont(mean, 0.975) + 1e-9, 6) AS hi FROM b",
         "q_sign_flip": _iterated(8) + """, f AS (SELECT it, round(avg(CASE WHEN u < 0.5 THEN -diff ELSE diff END), 9) AS mean FROM i GROUP BY it), o AS (SELECT avg(diff) AS seen FROM p)
-            SELECT round((count(*) FILTER (mean >= seen) + 1) / (count(*) + 1), 6) AS p_one, round((count(*) FILTER (abs(mean) >= abs(seen)) + 1) / (count(*) + 1), 6) AS p_two, round(avg(mean), 6) AS null_mean, round(stddev_samp(mean), 6) AS null_sd FROM f, o""",
+            SELECT round((count(*) FILTER (mean >= seen) + 1) / (count(*) + 1), 6) AS p_one, round((count(*) FILTER (abs(mean) >= abs(seen)) + 1) / (count(*) + 1), 6) AS p_two, round(avg(mean) + 1e-9, 6) AS null_mean, round(stddev_samp(mean) + 1e-9, 6) AS null_sd FROM f, o""",
         "q_half_split": _iterated(9) + """, h AS (SELECT it, round(avg(diff) FILTER (u < 0.5), 9) AS x, round(avg(diff) FILTER (u >= 0.5), 9) AS y FROM i GROUP BY it)
-            SELECT round(avg((x > 0 AND y > 0)::INT), 6) AS both_positive, round(avg((sign(x) = sign(y))::INT), 6) AS same_sign, round(corr(x, y), 5) AS correlation FROM h""",
+            SELECT round(avg((x > 0 AND y > 0)::INT) + 1e-9, 6) AS both_positive, round(avg((sign(x) = sign(y))::INT) + 1e-9, 6) AS same_sign, round(corr(x, y), 5) AS correlation FROM h""",
         "q_subsample": _iterated(10) + f" SELECT * FROM ({sub})",
         "q_method_intervals": _BOTH + """, x AS (SELECT method, count(lines_f1) AS n, avg(lines_f1) AS m, CASE WHEN count(lines_f1) > 1 THEN stddev_samp(lines_f1) / sqrt(count(lines_f1)) ELSE 0 END AS se FROM r GROUP BY method)
-            SELECT method, n, round(m, 6) AS mean, round(m - 1.96 * se, 6) AS lo, round(m + 1.96 * se, 6) AS hi FROM x""",
+            SELECT method, n, round(m + 1e-9, 6) AS mean, round(m - 1.96 * se, 6) AS lo, round(m + 1.96 * se, 6) AS hi FROM x""",
         "q_ecdf": _BOTH + " SELECT method, case_id, lines_f1, round(row_number() OVER (PARTITION BY method ORDER BY lines_f1, case_id) / count(*) OVER (PARTITION BY method), 6) AS y FROM r WHERE lines_f1 IS NOT NULL",
         "q_difference_curve": _PAIRS + " SELECT case_id, diff, row_number() OVER (ORDER BY diff, case_id) AS rank FROM p",
-        "q_quartiles": _BOTH + " SELECT method, round(quantile_cont(lines_f1, 0.25), 6) AS q1, round(quantile_cont(lines_f1, 0.5), 6) AS q2, round(quantile_cont(lines_f1, 0.75), 6) AS q3, round(avg(lines_f1), 6) AS mean, min(lines_f1) AS least, max(lines_f1) AS most FROM r GROUP BY method",
+        "q_quartiles": _BOTH + " SELECT method, round(quantile_cont(lines_f1, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(lines_f1, 0.5) + 1e-9, 6) AS q2, round(quantile_cont(lines_f1, 0.75) + 1e-9, 6) AS q3, round(avg(lines_f1) + 1e-9, 6) AS mean, min(lines_f1) AS least, max(lines_f1) AS most FROM r GROUP BY method",
         "q_histogram": _BOTH + " SELECT method, least(floor(id_jacc * 20), 19)::INT AS bin, count(*) AS n FROM r WHERE id_jacc IS NOT NULL GROUP BY ALL",
         "q_regression": _BOTH + """ SELECT method, count(*) AS n, round(regr_slope(lines_f1, drift), 5) AS slope, round(regr_intercept(lines_f1, drift), 5) AS intercept, round(CASE WHEN stddev_pop(drift) < 1e-12 OR stddev_pop(lines_f1) < 1e-12 THEN 0 ELSE corr(lines_f1, drift) END, 5) AS r
             FROM r WHERE drift IS NOT NULL AND lines_f1 IS NOT NULL GROUP BY method HAVING count(*) >= 3""",
