@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .stages import keep
 
+#: Items of one size are ranked in so many parts at least, and in one part a million items.
 CAPACITY, SALTS = 2048, 64
 
 
@@ -73,8 +74,10 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     own. Ties, items of one size, are placed in an order given by a hash of the key
     and the key, so the containers' contents don't depend on partitions.
     """
-    salted = keep(parts(sizes, key, size, capacity).withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(SALTS)).cast("int")))
-    groups = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))  # at most capacity x SALTS rows
+    items = keep(parts(sizes, key, size, capacity))
+    salts = SALTS + items.count() // 1_000_000
+    salted = items.withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int"))
+    groups = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))  # at most capacity x salts rows
     before = F.sum("n").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = groups.select("size", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     counts = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.sum("n").alias("n")).toLocalIterator()}
@@ -85,7 +88,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
             used[s] += times * n
     steps = sizes.sparkSession.createDataFrame(rows, "size int, from_rank long, to_rank long, each int, first long")
     place = F.row_number().over(Window.partitionBy("size", "salt").orderBy(key, "part"))
-    ranked = salted.withColumn("place", place).join(F.broadcast(offsets), ["size", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
+    ranked = salted.withColumn("place", place).join(offsets, ["size", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
     inside = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     container = F.col("first") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each"))
     return ranked.join(F.broadcast(steps), "size").where(inside).select(key, "part", "size", container.cast("long").alias("container"))
