@@ -17,8 +17,8 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest(table(spark, d, "code_chunks"), ["chunk_id"], ["text", *columns])
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
-    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["buggy_chunk"]).where("donor_id % 20 = 0")
+def _queries(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["buggy_chunk"]).where(F.col("donor_id") % every == 0)
     return retrieval.seed_terms(donors, "donor_id", F.col("buggy_chunk"))
 
 
@@ -74,10 +74,10 @@ def q_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.corpus(docs).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best chunks of each query."""
+def q_bm25_topk(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    """The ten best chunks of each query; every so manyth donor is one."""
     docs = retrieval.documents(_chunks(spark, d), "chunk_id", F.col("text"))
-    best = retrieval.top(retrieval.bm25(_queries(spark, d), docs, "donor_id", "chunk_id"), "donor_id", "chunk_id", 10)
+    best = retrieval.top(retrieval.bm25(_queries(spark, d, every), docs, "donor_id", "chunk_id"), "donor_id", "chunk_id", 10)
     return best.select("donor_id", "chunk_id", "pool_rank", F.round("score", 6).alias("score"))
 
 
