@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .near import SHINGLE, THRESHOLD, near_same
-from .stages import keep
+from .splits import components
+from .stages import keep, light
 
 #: 32 bands of 4 registers: a pair at similarity 0.7 stays apart in all bands with probability 0.00015, one at 0.1 meets in any with 0.003.
 BANDS, ROWS = 32, 4
@@ -117,6 +118,25 @@ def near_copies(code_chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     return near_same(code_chunks, members, pairs, threshold), members
 
 
+def chunk_groups(near: DataFrame, members: DataFrame) -> DataFrame:
+    """chunk_id, repo_key, class_id, class_size, cases, group_id, links: one row per chunk that has a content, copies without a near-same text too.
+
+    The class is the content; class_size its rows, cases its cases (null is one).
+    links are the near-same classes, so far as the two hold different cases; the
+    group is the component of these links, its own class where there is none.
+    """
+    sizes = members.groupBy("content", "repo_key").agg(F.count("*").alias("n")).groupBy("content")
+    sizes = keep(sizes.agg(F.sum("n").alias("class_size"), F.count("*").alias("cases"), F.min("repo_key").alias("least")))
+    of = lambda c: sizes.select(F.col("content").alias(c), F.col("cases").alias(f"cases_{c}"), F.col("least").alias(f"least_{c}"))
+    one = (F.col("cases_a") == 1) & (F.col("cases_b") == 1) & F.col("least_a").eqNullSafe(F.col("least_b"))
+    across = keep(near.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(~one).select("a", "b"))
+    links = across.select("a").union(across.select("b")).groupBy(F.col("a").alias("content")).agg(F.count("*").alias("links"))
+    found = links.join(components(across).withColumnRenamed("node", "content"), "content")
+    classes = keep(sizes.drop("least").join(found, "content", "left"))
+    rows = members.join(light(classes), "content")
+    return rows.select("chunk_id", "repo_key", F.col("content").alias("class_id"), "class_size", "cases", F.coalesce("root", "content").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def chunk_pairs(near: DataFrame, members: DataFrame) -> DataFrame:
     """chunk_a < chunk_b of different cases: members of near-same contents, and members of one content."""
     left = members.select(F.col("chunk_id").alias("x"), F.col("repo_key").alias("rx"), F.col("content").alias("a"))

@@ -36,13 +36,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per chunk that has a near-same chunk with another text: its class of texts, its group and the number of near-same classes."""
-    near, members = nearcopy.near_copies(table(spark, sf_dir, "code_chunks"))
-    near = keep(near.select("a", "b"))
-    groups = splits.components(near)
-    links = near.select("a").union(near.select("b")).groupBy(F.col("a").alias("content")).agg(F.count("*").alias("links"))
-    rows = members.join(links, "content").join(groups.withColumnRenamed("node", "content"), "content")
-    return rows.select("chunk_id", "repo_key", F.col("content").alias("class_id"), F.col("root").alias("group_id"), "links")
+    """One row per chunk: its class of texts with its size and cases, its group and the number of near-same classes of other cases."""
+    return nearcopy.chunk_groups(*nearcopy.near_copies(table(spark, sf_dir, "code_chunks")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

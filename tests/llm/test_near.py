@@ -60,6 +60,32 @@ def test_found_pairs_are_those_of_brute_force(chunks, chunks_rows):
     assert len(got) == len(want) > 10 and {tuple(r) for r in got} == want
 
 
+def test_groups_are_those_of_brute_force(spark, chunks_rows):
+    """Copies, a near-same text of the same case (no link) and texts without any other."""
+    made = "def f(a, b):\n    return [a, b, a + b, a - b, a * b, 7, 8, 9]"
+    chunks_rows = [*chunks_rows, ["o1", "G9/own", made], ["o2", "G9/own", made + " + 1"], ["u1", None, made.replace("f", "other quite different words stand here alone")]]
+    rows = sorted({(i, r, t) for i, r, t in chunks_rows if i and runs(t)}, key=str)
+    key = [frozenset(runs(t)) for _, _, t in rows]
+    classes, cases = {k: [r for r, c in zip(rows, key, strict=True) if c == k] for k in key}, {k: {r[1] for r, c in zip(rows, key, strict=True) if c == k} for k in key}
+    close = lambda x, y: x != y and len(x & y) >= 0.7 * len(x | y) - 1e-9 and len(cases[x] | cases[y]) > 1
+    links = {x: {y for y in classes if close(x, y)} for x in classes}
+
+    def group(k):
+        seen, todo = {k}, [k]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return frozenset(r[0] for x in seen for r in classes[x])
+
+    table = spark.createDataFrame([(i, r, t) for i, r, t in chunks_rows], "chunk_id string, repo_key string, text string")
+    got = nearcopy.chunk_groups(*nearcopy.near_copies(table)).collect()
+    assert {(r.chunk_id, r.repo_key, r.class_size, r.cases, r.links) for r in got} == {(i, c, len(classes[k]), len(cases[k]), len(links[k])) for (i, c, _), k in zip(rows, key, strict=True)}
+    assert len(got) == len(rows) and {"o1", "o2", "u1"} <= {r.chunk_id for r in got if r.links == 0} and any(r.links == 0 and r.cases > 1 for r in got)
+    of = lambda name: {frozenset(r.chunk_id for r in got if r[name] == v) for v in {r[name] for r in got}}
+    assert of("class_id") == {frozenset(r[0] for r in c) for c in classes.values()} and of("group_id") == {group(k) for k in classes}
+
+
 @pytest.mark.parametrize("buckets", [1 << 20, 64])
 def test_overlaps_are_those_of_brute_force(cases, cases_rows, chunks, chunks_rows, buckets, monkeypatch):
     """With 64 buckets every run seems common, and nothing is lost."""
