@@ -215,6 +215,15 @@ def compared(df: DataFrame, keys: list[str], before: str, after: str) -> DataFra
     return per_row(df, keys, [before, after], make, "ast_ok boolean, parse_error string, drift double, touched array<int>, deleted int, added int, modified int")
 
 
+def touched_sets(df: DataFrame, keys: list[str], before: str, after: str, made: str) -> DataFrame:
+    """keys, gold, pred: lines of before that after touches and that the made text touches; an empty made text touches none."""
+
+    def make(a: str, b: str, c: str) -> dict:
+        return {"gold": touched_lines(a, b), "pred": touched_lines(a, c) if c else []}
+
+    return per_row(df, keys, [before, after, made], make, "gold array<int>, pred array<int>")
+
+
 def diffs(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
     """keys, diff (a unified diff with two lines of context, as one text), edits (how many minimal edits lead from before to after), rows (of a display side by side)."""
 

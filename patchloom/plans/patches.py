@@ -46,13 +46,20 @@ def _differing(a: str, b: str) -> Column:
 
 
 def q_lines_prf1(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that differ after the edits against lines that differ in the exemplar, line by line."""
+    """Lines that differ after the edits against lines that differ in the exemplar, line by line. The reference's measure is q_touched_prf1."""
     patched = edits.apply_edits(F.col("buggy_chunk"), F.col("edits"))
     lined = _donors(spark, d).select("donor_id", *(T.split_lines(t).alias(n) for n, t in (("a", F.col("buggy_chunk")), ("b", F.col("fixed_chunk")), ("c", patched))))
     sets = lined.select("donor_id", _differing("a", "b").alias("gold"), _differing("a", "c").alias("pred"))
     return sets.select("donor_id", edits.prf1(F.col("gold"), F.col("pred")).alias("x")).select("donor_id", "x.*")
 
 
+def q_touched_prf1(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's Lines-P/R/F1: lines that the edits touch against lines that the exemplar touches, by sequence comparison."""
+    donors = _donors(spark, d).withColumn("patched", edits.apply_edits(F.col("buggy_chunk"), F.col("edits")))
+    sets = code.touched_sets(donors, ["donor_id"], "buggy_chunk", "fixed_chunk", "patched")
+    return sets.select("donor_id", edits.prf1(F.col("gold"), F.col("pred")).alias("x")).select("donor_id", "x.*")
+
+
 def q_regex_guards(spark: SparkSession, d: str) -> DataFrame:
     """Guards without a parser on every chunk: register mix-ups, and qubit order between a donor's texts by counts."""
     chunks = latest(table(spark, d, "code_chunks"), ["chunk_id"], ["text"]).where("text is not null")
@@ -127,7 +134,7 @@ def q_refine_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     every = (
-        q_identifier_jaccard, q_apply_edits, q_edit_size, q_region_filter, q_lines_prf1, q_regex_guards, q_order_guard, q_rule_rewrites, q_pattern_lines, q_leak_free_pool, q_diff, q_unified_diff, q_analyzer, q_guards, q_refine_replay,
+        q_identifier_jaccard, q_apply_edits, q_edit_size, q_region_filter, q_lines_prf1, q_touched_prf1, q_regex_guards, q_order_guard, q_rule_rewrites, q_pattern_lines, q_leak_free_pool, q_diff, q_unified_diff, q_analyzer, q_guards, q_refine_replay,
     )
     return {f.__name__: f for f in every}
 

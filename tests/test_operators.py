@@ -109,6 +109,22 @@ def test_prf1(spark):
     assert (r[0].p, r[0].r, r[0].f1) == (0.666667, 0.666667, 0.666667) and (r[1].f1, r[2].f1) == (0, 0)
 
 
+def test_touched_lines_of_inserts_and_deletes(spark):
+    """Lines after an insert or a delete are not touched."""
+    a = "one\ntwo\nthree\nfour"
+    cases = [  # after, made, then p, r, f1, lines of gold and pred
+        ("zero\n" + a, a.replace("two", "2"), (0.0, 0.0, 0.0, 0, 1)),
+        ("one\nthree\nfour", "one\n2\nthree\nfour", (1.0, 1.0, 1.0, 1, 1)),
+        ("one\n2\nthree\n4", "three\nfour", (0.5, 0.5, 0.5, 2, 2)),
+        ("1\n2\nthree\nfour", "one\n2\nfour", (0.5, 0.5, 0.5, 2, 2)),
+        ("one", "", (0.0, 0.0, 0.0, 3, 0)),
+        (a, a + "\nfive", (0.0, 0.0, 0.0, 0, 0)),
+    ]
+    df = spark.createDataFrame([(i, a, b, c) for i, (b, c, _) in enumerate(cases)], "i int, a string, b string, c string")
+    got = code.touched_sets(df, ["i"], "a", "b", "c").select("i", edits.prf1(F.col("gold"), F.col("pred")).alias("x")).select("i", "x.*").collect()
+    assert {r.i: tuple(r)[1:] for r in got} == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
 def test_published_statistics():
     assert tails.wilcoxon_exact_sf(5, 15) == pytest.approx(0.03125)
     assert 2 * tails.t_sf(2.2647, 11) == pytest.approx(0.0447199, abs=2e-5)
