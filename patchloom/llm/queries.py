@@ -41,8 +41,9 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases of related sets that hold at least two splits."""
-    return splits.torn(keep(splits.related(table(spark, sf_dir, "all_cases"), table(spark, sf_dir, "synthetic_benchmark_report"))))
+    """Cases of related sets that hold at least two splits, which the new assignment keeps whole."""
+    placed = keep(splits.assign(table(spark, sf_dir, "all_cases"), table(spark, sf_dir, "synthetic_benchmark_report")))
+    return splits.torn(placed.select("case_id", "set_id", F.col("old_split").alias("split")))
 
 
 def p3_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,11 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select("split", "cases", "sets", F.round(F.col("cases") / F.col("total"), 6).alias("share"))
 
 
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each finding code, and over all cases, how they fall on the new splits."""
+    return splits.balance(keep(p3_assigned(spark, sf_dir)), splits.labels_of(table(spark, sf_dir, "all_cases")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversized chunks and the strongest boundary at which cuts alone suffice."""
     return pieces.pieces(table(spark, sf_dir, "code_chunks")).where("piece = 0").select("chunk_id", "boundary")
@@ -129,7 +135,7 @@ def p8_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_overlap_counts, p2_found, p2_groups, p3_found, p3_assigned, p3_balance, p4_found, p4_pieces, p5_found, p5_spans, p5_shares,
+        p1_found, p1_overlap_counts, p2_found, p2_groups, p3_found, p3_assigned, p3_balance, p3_labels, p4_found, p4_pieces, p5_found, p5_spans, p5_shares,
         p6_ids, p6_decoded, p7_packed, p7_usage, p8_found, p8_make_up,
     )
     return {f.__name__: f for f in every}

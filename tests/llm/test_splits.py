@@ -51,20 +51,32 @@ def test_related_sets_and_torn_ones(cases, cases_rows, reports):
     assert {r[0] for r in splits.torn(related).collect()} == torn and torn
 
 
-@pytest.mark.parametrize("heads", [1, 1000])
-def test_assignment_keeps_sets_whole(spark, reports, monkeypatch, heads):
-    """With one head nearly all sets go through cells."""
-    monkeypatch.setattr(splits, "HEADS", heads)
-    rows = [(f"S{g}/c{k}", f"S{g}", None, None, ["QC01", "QC02", "QC03,QC01", None][(g + k) % 4], NOW, "g", "p") for g in range(120) for k in range(1 + g % 5)]
+def test_assignment_keeps_sets_whole(spark, reports):
+    """Codes that no list knows are labels too; the shares are met though sets stay whole."""
+    rows = [(f"S{g}/c{k}", f"S{g}", None, None, ["QC01", "QC02,QC03 ", None, "new,qc01", ","][(g + k) % 5], NOW, "g", "p") for g in range(120) for k in range(1 + g % 5)]
     rows += [(f"BIG/c{k}", "BIG", "train", None, "QC09", NOW, "g", "p") for k in range(60)]
-    got = splits.assign(spark.createDataFrame(rows, CASE), reports).collect()
+    table = spark.createDataFrame(rows + rows[:7], CASE)
+    new = splits.assign(table, reports)
+    got = new.collect()
     assert len(got) == len(rows) == len({r.case_id for r in got})
     by_set = collections.defaultdict(set)
     for r in got:
         by_set[r.set_id].add(r.split)
     assert all(len(s) == 1 for s in by_set.values())
     share = collections.Counter(r.split for r in got)
-    assert abs(share["train"] / len(got) - 0.70) < 0.03 and abs(share["validation"] / len(got) - 0.15) < 0.03
+    assert all(abs(share[s] / len(got) - r) < 0.03 for s, r in splits.RATIOS.items())
+    balance = {(r.label, r.split): r for r in splits.balance(new, splits.labels_of(table)).collect()}
+    assert {label for label, _ in balance} == {None, "QC01", "QC02", "QC03", "QC09", "NEW"} and len(balance) == 18
+    assert all(abs(r.share - r.wanted) < 0.1 for (label, _), r in balance.items() if label in ("QC01", "QC02", "QC03", "NEW"))
+    assert balance[None, "train"].cases == share["train"] and balance["QC09", "test"].cases == 0
+
+
+def test_filling_is_where_one_after_the_other_leads():
+    need, want = {"a": 70.0, "b": 15.0, "c": 15.5}, collections.Counter()
+    for _ in range(2000):
+        s = max(need, key=lambda x: need[x] - want[x])
+        want[s] += 0.03
+    assert all(abs(q - want[s]) < 0.1 for s, q in splits.fill(need, 60.0))
 
 
 def test_long_chain_is_one_component(spark):
