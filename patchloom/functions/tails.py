@@ -48,9 +48,23 @@ def t_sf(t: float, df: float) -> float:
 
 
 def sign_test(wins: int, losses: int) -> float | None:
-    """Two-sided binomial test of equal chances; null without wins and losses."""
+    """Two-sided binomial test of equal chances, exact below 20,000 wins and losses, else by the normal approximation, which then differs in the fourth digit; null without any."""
     n, k = wins + losses, min(wins, losses)
     if n == 0:
         return None
     tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1)) if n < 20_000 else normal_sf((n - 2 * k - 1) / math.sqrt(n))
     return min(1.0, 2 * tail)
+
+
+def all_tests(r) -> list[tuple]:
+    """test, alternative, statistic, p of one row of n, ties, w_plus, w_minus, z, t, pairs, wins, losses; missing statistics have no p."""
+    known = lambda x: x is not None and x == x
+    if 0 < r.n <= 50 and r.ties == 0:
+        up, down = wilcoxon_exact_sf(r.n, r.w_plus), wilcoxon_exact_sf(r.n, r.w_minus)
+    else:
+        up, down = (normal_sf(r.z), normal_sf(-r.z)) if known(r.z) else (None, None)
+    p = t_sf(r.t, r.pairs - 1) if known(r.t) else None
+    return [
+        ("wilcoxon", "greater", r.w_plus, up), ("wilcoxon", "two-sided", min(r.w_plus, r.w_minus), None if up is None else min(1.0, 2 * min(up, down))),
+        ("paired t", "greater", r.t, p), ("paired t", "two-sided", r.t, None if p is None else 2 * min(p, 1 - p)), ("sign", "two-sided", float(r.wins), sign_test(r.wins, r.losses)),
+    ]

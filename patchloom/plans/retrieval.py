@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, retrieval
-from ..sources.tables import latest, table
+from ..sources.tables import latest, latest_texts, table
+from ..stages import keep
 from . import sql as S
 
-POOL = 80
+POOL, HINT = 80, "cx rz dag"
+KINDS = ("function", "class", "module")
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return latest(table(spark, d, "code_chunks"), ["chunk_id"], ["text", *columns])
+    return latest_texts(table(spark, d, "code_chunks"), ["chunk_id"], ["text", *columns])
 
 
-def _queries(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
-    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["buggy_chunk"]).where(F.col("donor_id") % every == 0)
-    return retrieval.seed_terms(donors, "donor_id", F.col("buggy_chunk"))
+def _donors(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest_texts(table(spark, d, "donor_exemplars"), ["donor_id"], ["buggy_chunk", *columns])
+
+
+def _best(spark: SparkSession, d: str, docs: DataFrame, k: int, every: int = 20, boost: Column | None = None, hint: str = "") -> DataFrame:
+    """The k best documents of each query, which are every so manyth donor's seed terms."""
+    asked = _donors(spark, d).where(F.col("donor_id") % every == 0)
+    terms = retrieval.hinted(retrieval.seed_terms(asked, "donor_id", F.col("buggy_chunk")), asked, "donor_id", hint)
+    return retrieval.search(asked.select("donor_id"), terms, docs, "donor_id", "chunk_id", k, boost)
+
+
+def _indexed(spark: SparkSession, d: str, *header: str, kind: str | None = None) -> DataFrame:
+    """Chunks as documents of an index, with the columns of a header before the text."""
+    chunks = _chunks(spark, d, *header, *(() if "kind" in header or kind is None else ("kind",)))
+    parts = [F.coalesce(c, F.lit("")) for c in (*header, "text")]
+    return retrieval.documents(chunks if kind is None else chunks.where(F.col("kind") == kind), "chunk_id", F.concat_ws(" ", *parts))
 
 
 def q_split_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +54,7 @@ def q_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def q_top_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The seed query of every donor."""
-    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["buggy_chunk"])
+    donors = _donors(spark, d)
     return retrieval.seed_terms(donors, "donor_id", F.col("buggy_chunk")).select("donor_id", "term", "weight", "rank")
 
 
@@ -74,30 +89,35 @@ def q_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.corpus(docs).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def q_bm25_topk(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
-    """The ten best chunks of each query; every so manyth donor is one."""
-    docs = retrieval.documents(_chunks(spark, d), "chunk_id", F.col("text"))
-    best = retrieval.top(retrieval.bm25(_queries(spark, d, every), docs, "donor_id", "chunk_id"), "donor_id", "chunk_id", 10)
-    return best.select("donor_id", "chunk_id", "pool_rank", F.round("score", 6).alias("score"))
+def _ranked(best: DataFrame, *more: str) -> DataFrame:
+    return best.select("donor_id", "chunk_id", "pool_rank", *more, F.round("score", 6).alias("score"))
 
 
-def _hybrid(spark: SparkSession, d: str, k: int) -> DataFrame:
-    header = F.concat_ws(" ", F.coalesce("symbol", F.lit("")), F.coalesce("kind", F.lit("")), F.coalesce("text", F.lit("")))
-    docs = retrieval.documents(_chunks(spark, d, "symbol", "kind"), "chunk_id", header)
-    scores = retrieval.hybrid(retrieval.bm25(_queries(spark, d), docs, "donor_id", "chunk_id"), retrieval.boosts(docs, "chunk_id"), "donor_id", "chunk_id")
-    return retrieval.top(scores, "donor_id", "chunk_id", k)
+def q_bm25_topk(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    """The ten best chunks of each query; every so manyth donor is one. Chunks without a term compete with 0."""
+    return _ranked(_best(spark, d, _indexed(spark, d), 10, every))
 
 
 def q_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best chunks with headers and lexicon boosts."""
-    return _hybrid(spark, d, 10).select("donor_id", "chunk_id", "pool_rank", F.round("score", 6).alias("score"))
+    """The ten best chunks with headers of symbol and kind, and lexicon boosts; every chunk competes."""
+    return _ranked(_best(spark, d, _indexed(spark, d, "symbol", "kind"), 10, boost=retrieval.lexicon_boost()))
+
+
+def q_path_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the path in the header, and with the hint that every query carries."""
+    return _ranked(_best(spark, d, _indexed(spark, d, "symbol", "kind", "file_path"), 10, boost=retrieval.lexicon_boost(), hint=HINT))
+
+
+def q_kind_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The three best of each kind of chunk, each kind an index with statistics of its own."""
+    found = [_ranked(_best(spark, d, _indexed(spark, d, kind=k), 3)).withColumn("kind", F.lit(k)) for k in KINDS]
+    return found[0].union(found[1]).union(found[2])
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """The pool of each query: donor_id, pool_rank, score, re_score, file, symbol, start, end, chunk_id, text."""
     chunks = _chunks(spark, d, "repo_key", "file_path", "start_line", "end_line", "symbol")
-    docs = retrieval.documents(chunks, "chunk_id", F.col("text"))
-    best = retrieval.rerank(retrieval.top(retrieval.bm25(_queries(spark, d), docs, "donor_id", "chunk_id"), "donor_id", "chunk_id", POOL))
+    best = retrieval.rerank(_best(spark, d, _indexed(spark, d), POOL), "donor_id")
     start = F.coalesce("start_line", F.lit(1))
     end = F.coalesce("end_line", start + F.size(T.split_lines(F.col("text"))) - 1)
     return best.join(chunks, "chunk_id").select(
@@ -106,11 +126,27 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The pool in the order of identifiers shared with the donor's text."""
+    asked = _donors(spark, d).where("donor_id % 20 = 0").select("donor_id", F.col("buggy_chunk").alias("asked"))
+    return retrieval.rerank(_hits(spark, d).join(asked, "donor_id"), "donor_id", retrieval.shared_words)
+
+
+def _prior() -> Column:
+    preview = F.array_join(F.slice(T.split_lines(F.coalesce("text", F.lit(""))), 1, 120), "\n")
+    return retrieval.syntax_prior(preview, F.coalesce("symbol", F.lit("")))
+
+
+def q_rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best of each pool by shared identifiers; equals stay in the pool's order."""
+    return _reranked(spark, d).where("pool_rank <= 10").select("donor_id", "chunk_id", "pool_rank", F.round("re_score", 6).alias("re_score"))
+
+
 def q_prior_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Pools ranked anew by the syntax prior, ten best."""
-    prior = retrieval.syntax_prior(F.array_join(F.slice(T.split_lines(F.coalesce("text", F.lit(""))), 1, 120), "\n"), F.coalesce("symbol", F.lit("")))
-    scored = _hits(spark, d).select("donor_id", "chunk_id", F.round(prior, 2).alias("prior"), retrieval.with_prior(F.round("score", 9), prior).alias("score"))
-    return retrieval.top(scored, "donor_id", "chunk_id", 10).select("donor_id", "chunk_id", "pool_rank", "prior", F.round("score", 6).alias("score"))
+    """Pools ranked anew by the re-rank score with the syntax prior, ten best; equals stay in the pool's order."""
+    pool = _reranked(spark, d).withColumn("prior", _prior())
+    best = retrieval.resorted(pool, "donor_id", retrieval.with_prior(F.round("re_score", 9), F.col("prior")), 10)
+    return _ranked(best.withColumn("prior", F.round("prior", 2)), "prior")
 
 
 def q_select_balanced(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +167,7 @@ def q_focus_span(spark: SparkSession, d: str) -> DataFrame:
 def q_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Hit, reciprocal rank, nDCG and recall at 10; a query's gold rows are the chunks of its own case."""
     hits = q_bm25_topk(spark, d)
-    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["case_id"]).where("donor_id % 20 = 0")
+    donors = _donors(spark, d, "case_id").where("donor_id % 20 = 0")
     gold = donors.join(_chunks(spark, d, "repo_key").select("chunk_id", F.col("repo_key").alias("case_id")), "case_id").select("donor_id", "chunk_id")
     return retrieval.ranking_metrics(hits, gold, "donor_id", "chunk_id")
 
@@ -143,10 +179,9 @@ def q_select_k(spark: SparkSession, d: str) -> DataFrame:
 
 def q_pool_union(spark: SparkSession, d: str) -> DataFrame:
     """The ten best by BM25 and the ten best by the prior as one pool per query, without repetitions."""
-    hits = _hits(spark, d)
-    prior = retrieval.syntax_prior(F.coalesce("text", F.lit("")), F.coalesce("symbol", F.lit("")))
+    hits = keep(_hits(spark, d))
     columns = ("donor_id", "chunk_id", "file", "start", "end", "pool_rank")
-    again = retrieval.top(hits.withColumn("score", retrieval.with_prior(F.round("score", 9), prior)).drop("pool_rank"), "donor_id", "chunk_id", 10)
+    again = retrieval.resorted(hits, "donor_id", retrieval.with_prior(F.round("score", 9), _prior()), 10)
     return retrieval.merge_pools([hits.where("pool_rank <= 10").select(*columns), again.select(*columns)], "donor_id").select("donor_id", "chunk_id", "pool_rank")
 
 
@@ -155,14 +190,14 @@ def q_exemplars(spark: SparkSession, d: str) -> DataFrame:
     cases = latest(table(spark, d, "all_cases"), ["case_id"], ["case_group", "split"])
     grp = F.lower(F.trim(F.coalesce("case_group", F.split_part("case_id", F.lit("/"), F.lit(1)))))
     known = cases.select("case_id", grp.alias("grp"), F.coalesce(F.lower(F.trim("split")).startswith("tr"), F.lit(False)).alias("is_train"))
-    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["case_id", "buggy_chunk"]).where("length(buggy_chunk) > 0")
+    donors = _donors(spark, d, "case_id").where("length(buggy_chunk) > 0")
     return retrieval.exemplars(donors, known)
 
 
 def queries() -> dict:
     every = (
         q_split_lines, q_token_counts, q_top_tokens, q_window_chunks, q_adaptive_chunks, q_syntax_chunks, q_doc_freq, q_corpus_stats, q_bm25_topk, q_hybrid_topk,
-        q_prior_topk, q_select_balanced, q_select_coverage, q_focus_span, q_retrieval_metrics, q_select_k, q_pool_union, q_exemplars,
+        q_path_topk, q_kind_topk, q_rerank_topk, q_prior_topk, q_select_balanced, q_select_coverage, q_focus_span, q_retrieval_metrics, q_select_k, q_pool_union, q_exemplars,
     )
     return {f.__name__: f for f in every}
 
@@ -198,6 +233,12 @@ def oracle_sql() -> dict[str, str]:
         r" + CASE WHEN regexp_matches(x, '\b(run|apply)\b') THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(x, 'dag|layout') THEN 0.08 ELSE 0 END)"
     )
     header = "coalesce(symbol, '') || ' ' || coalesce(kind, '') || ' ' || coalesce(text, '')"
+    path = "coalesce(symbol, '') || ' ' || coalesce(kind, '') || ' ' || coalesce(file_path, '') || ' ' || coalesce(text, '')"
+    boosted = f", b AS (SELECT chunk_id, 0.02 * 1.8 * len(list_filter(toks, lambda t: t IN ({lex}))) AS boost FROM d), h AS (SELECT donor_id, chunk_id, score + boost AS score FROM scores JOIN b USING (chunk_id))"
+    kinds = " UNION ALL ".join(f"SELECT donor_id, chunk_id, pool_rank, round(score, 6) AS score, '{k}' AS kind FROM (WITH {S.bm25(where=chr(39).join(('WHERE kind = ', k, '')))} SELECT * FROM {S.pool(3)})" for k in KINDS)
+    shared = f"""{_hits_sql()}, y0 AS (SELECT h.*, list_distinct({S.tokens("coalesce(h.text, '')")}) AS x, list_distinct({S.tokens("coalesce(o.buggy_chunk, '')")}) AS z FROM hits h JOIN {S.DONORS} o USING (donor_id)),
+            y1 AS (SELECT * EXCLUDE (score, pool_rank), pool_rank AS was, len(list_intersect(x, z)) AS i, len(list_distinct(list_concat(x, z))) AS u FROM y0),
+            y2 AS (SELECT *, round(CASE WHEN u = 0 THEN 1.0 ELSE i / u END, 9) AS re_score FROM y1), y AS (SELECT *, row_number() OVER (PARTITION BY donor_id ORDER BY re_score DESC, was) AS pool_rank FROM y2)"""
     return {
         "q_split_lines": f"""SELECT chunk_id, len(l) AS lines, length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS breaks,
             coalesce(list_max(list_transform(l, lambda x: length(x))), 0) AS longest, l[1] AS first_line FROM (SELECT chunk_id, text, {S.lines('text')} AS l FROM {S.CHUNKS} WHERE text IS NOT NULL)""",
@@ -209,18 +250,21 @@ def oracle_sql() -> dict[str, str]:
         "q_doc_freq": f"SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest({S.tokens('text')}) AS term FROM {S.CHUNKS}) GROUP BY term",
         "q_corpus_stats": f"SELECT count(*) AS n, round(avg(coalesce(len({S.tokens('text')}), 0)), 6) AS avgdl FROM {S.CHUNKS}",
         "q_bm25_topk": f"WITH {S.bm25()} SELECT donor_id, chunk_id, pool_rank, round(score, 6) AS score FROM {S.pool(10)}",
-        "q_hybrid_topk": f"""WITH {S.bm25(header)}, b AS (SELECT chunk_id, 1.8 * len(list_filter(toks, lambda t: t IN ({lex}))) AS boost FROM d),
-            h AS (SELECT donor_id, chunk_id, score + 0.02 * boost AS score FROM scores JOIN b USING (chunk_id)) SELECT donor_id, chunk_id, pool_rank, round(score, 6) AS score FROM {S.pool(10, 'h')}""",
-        "q_prior_topk": f"""{_hits_sql()}, x AS (SELECT *, lower(array_to_string({S.lines("coalesce(text, '')")}[1:120], chr(10)) || ' ' || coalesce(symbol, '')) AS x FROM hits),
-            y AS (SELECT donor_id, chunk_id, round({prior}, 2) AS prior, score * (1 + 0.5 * {prior}) AS score FROM x) SELECT donor_id, chunk_id, pool_rank, prior, round(score, 6) AS score FROM {S.pool(10, 'y')}""",
+        "q_hybrid_topk": f"WITH {S.bm25(header)}{boosted} SELECT donor_id, chunk_id, pool_rank, round(score, 6) AS score FROM {S.pool(10, 'h')}",
+        "q_path_topk": f"WITH {S.bm25(path, hint=HINT)}{boosted} SELECT donor_id, chunk_id, pool_rank, round(score, 6) AS score FROM {S.pool(10, 'h')}",
+        "q_kind_topk": kinds,
+        "q_rerank_topk": f"{shared} SELECT donor_id, chunk_id, pool_rank, round(re_score, 6) AS re_score FROM y WHERE pool_rank <= 10",
+        "q_prior_topk": f"""{shared}, pp AS (SELECT *, lower(array_to_string({S.lines("coalesce(text, '')")}[1:120], chr(10)) || ' ' || coalesce(symbol, '')) AS x_ FROM y),
+            v AS (SELECT donor_id, chunk_id, pool_rank AS was, round({prior.replace('(x,', '(x_,')}, 2) AS prior, round(re_score * (1 + 0.5 * {prior.replace('(x,', '(x_,')}), 9) AS score FROM pp)
+            SELECT donor_id, chunk_id, row_number() OVER (PARTITION BY donor_id ORDER BY score DESC, was) AS pool_rank, prior, round(score, 6) AS score FROM v QUALIFY pool_rank <= 10""",
         "q_select_balanced": _hits_sql() + _FIRST.format(v1="1.05 + (score - lo) / (hi - lo + 1e-9)", v2="0.8 * (size - ov) / size + (score - lo) / (hi - lo + 1e-9) - 0.10 * (1 - (size - ov) / size) + CASE WHEN file IS NOT DISTINCT FROM ffile THEN 0 ELSE 0.15 END + CASE WHEN symbol IS NOT DISTINCT FROM fsym THEN 0 ELSE 0.10 END"),
         "q_select_coverage": _hits_sql() + _FIRST.format(v1="size + 16", v2="size - ov + CASE WHEN file IS NOT DISTINCT FROM lfile THEN 0 ELSE 10 END + CASE WHEN symbol IS NOT DISTINCT FROM lsym THEN 0 ELSE 6 END"),
         "q_focus_span": f"""{_hits_sql()}, t AS (SELECT donor_id, chunk_id, {S.lines('text')} AS l FROM hits WHERE pool_rank = 1 AND length(text) > 0),
-            m AS (SELECT donor_id, chunk_id, len(l) AS n, list_filter(range(1, greatest(1, len(l)) + 1), lambda i: coalesce(regexp_matches(l[i], '{retrieval.FOCUS}'), false)) AS m FROM t),
-            s AS (SELECT *, greatest(1, list_min(m) - 3) AS lo, least(n, list_max(m) + 3) AS hi, greatest(1, (1 + greatest(1, n)) // 2 - 12) AS mid FROM m)
+            mm AS (SELECT donor_id, chunk_id, len(l) AS n, list_filter(range(1, greatest(1, len(l)) + 1), lambda i: coalesce(regexp_matches(l[i], '{retrieval.FOCUS}'), false)) AS m FROM t),
+            s AS (SELECT *, greatest(1, list_min(m) - 3) AS lo, least(n, list_max(m) + 3) AS hi, greatest(1, (1 + greatest(1, n)) // 2 - 12) AS mid FROM mm)
             SELECT donor_id, chunk_id, CASE WHEN len(m) = 0 THEN mid ELSE lo END AS lo, CASE WHEN len(m) = 0 THEN least(n, mid + 23) ELSE least(hi, lo + 23) END AS hi, len(m) AS telling FROM s""",
-        "q_pool_union": f"""{_hits_sql()}, x AS (SELECT *, lower(coalesce(text, '') || ' ' || coalesce(symbol, '')) AS x FROM hits),
-            y AS (SELECT donor_id, chunk_id, file, s, e, score * (1 + 0.5 * {prior}) AS score FROM x), a AS (SELECT donor_id, chunk_id, file, s, e, pool_rank, 1 AS src FROM {S.pool(10, 'y')}),
+        "q_pool_union": f"""{_hits_sql()}, x AS (SELECT *, lower(array_to_string({S.lines("coalesce(text, '')")}[1:120], chr(10)) || ' ' || coalesce(symbol, '')) AS x FROM hits),
+            y AS (SELECT donor_id, chunk_id, file, s, e, row_number() OVER (PARTITION BY donor_id ORDER BY round(score * (1 + 0.5 * {prior}), 9) DESC, pool_rank) AS pool_rank FROM x), a AS (SELECT *, 1 AS src FROM y WHERE pool_rank <= 10),
             u AS (SELECT donor_id, chunk_id, file, s, e, pool_rank, 0 AS src FROM hits WHERE pool_rank <= 10 UNION ALL SELECT * FROM a),
             k AS (SELECT *, row_number() OVER (PARTITION BY donor_id, file, s, e ORDER BY src, pool_rank) AS i FROM u) SELECT donor_id, chunk_id, row_number() OVER (PARTITION BY donor_id ORDER BY src, pool_rank) AS pool_rank FROM k WHERE i = 1""",
         "q_exemplars": f"""WITH c AS (SELECT case_id, lower(trim(coalesce(case_group, split_part(case_id, '/', 1)))) AS grp, coalesce(lower(trim(split)) LIKE 'tr%', false) AS is_train FROM {S.CASES}),

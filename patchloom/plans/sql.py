@@ -31,16 +31,19 @@ SEEDS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor_id O
   WHERE term NOT IN ({words(QUERY_STOP_WORDS)}) GROUP BY donor_id, term)) WHERE rank <= 6)"""
 
 
-def bm25(text: str = "text", extra: str = "") -> str:
-    """CTEs: c chunks, d tokens, q seed terms, scores (donor_id, chunk_id, score)."""
-    return f"""c AS (SELECT * FROM {CHUNKS}),
+def bm25(text: str = "text", where: str = "", hint: str = "") -> str:
+    """CTEs: c chunks, d tokens, q seed terms and the words of a hint, scores (donor_id, chunk_id, score) of every query and every chunk."""
+    hints = f" UNION ALL SELECT donor_id, unnest([{words(hint.split())}]) FROM i" if hint else ""
+    return f"""c AS (SELECT * FROM {CHUNKS} {where}),
+i AS (SELECT donor_id FROM {DONORS} WHERE donor_id % 20 = 0),
 d AS (SELECT chunk_id, coalesce({tokens(text)}, []) AS toks FROM c),
 n AS (SELECT count(*) AS n, coalesce(avg(len(toks)), 0) AS avgdl FROM d),
-q AS (SELECT donor_id, term FROM {SEEDS}),
+q AS (SELECT donor_id, term FROM {SEEDS}{hints}),
 p AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-scores AS (SELECT donor_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(1.0, avgdl)))) AS score
-  FROM q JOIN f USING (term) JOIN p USING (term), n GROUP BY donor_id, chunk_id){extra}"""
+m AS (SELECT donor_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(1.0, avgdl)))) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), n GROUP BY donor_id, chunk_id),
+scores AS (SELECT donor_id, chunk_id, coalesce(score, 0) AS score FROM (SELECT donor_id, chunk_id FROM i, c) LEFT JOIN m USING (donor_id, chunk_id))"""
 
 
 def pool(k: int, scores: str = "scores") -> str:
