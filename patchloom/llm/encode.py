@@ -11,6 +11,7 @@ says at which characters a word starts. Equal words are merged once, by a cache.
 from __future__ import annotations
 
 import base64
+import heapq
 import importlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_WORDS = 1 << 19
+#: The cache holds so many words of at most so many characters.
+CACHE_WORDS, CACHE_CHARS = 1 << 19, 200
 _BLOCK = 256
 
 #: Symbols: end of text, letter, number, other, an apostrophe that starts a short form of one or two letters,
@@ -115,19 +117,33 @@ def default_path(name: str = VOCABULARY) -> str:
 
 
 def merged(word: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Ids of a word: of the adjacent parts that together are in the vocabulary, the pair of least rank is joined, the leftmost of equals, until none is left."""
+    """Ids of a word: of the adjacent parts that together are in the vocabulary, the pair of least rank is joined, the leftmost of equals, until none is left.
+
+    Pairs wait in a heap and parts know their neighbours, so that a word of n bytes takes n log n steps.
+    """
     if (whole := rank.get(word)) is not None:
         return [whole]
-    cuts = list(range(len(word) + 1))
-    pair = [rank.get(word[i : i + 2], 1 << 60) for i in range(len(word) - 1)]
-    while pair and (low := min(pair)) < 1 << 60:
-        i = pair.index(low)
-        del cuts[i + 1], pair[i]
-        if i < len(pair):
-            pair[i] = rank.get(word[cuts[i] : cuts[i + 2]], 1 << 60)
-        if i:
-            pair[i - 1] = rank.get(word[cuts[i - 1] : cuts[i + 1]], 1 << 60)
-    return [rank[word[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts at a place; end 0: the place starts none
+    waiting = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+    heapq.heapify(waiting)
+    while waiting:
+        _, i, to = heapq.heappop(waiting)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != to:
+            continue  # one of the two parts has been joined with another meanwhile
+        end[i], end[middle] = to, 0
+        if to < n:
+            before[to] = i
+            if (r := rank.get(word[i : end[to]])) is not None:
+                heapq.heappush(waiting, (r, i, end[to]))
+        if (h := before[i]) >= 0 and (r := rank.get(word[h:to])) is not None:
+            heapq.heappush(waiting, (r, h, to))
+    out, i = [], 0
+    while i < n:
+        out.append(rank[word[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class Encoder:
@@ -153,7 +169,9 @@ class Encoder:
         parts = []
         for a, b in zip(at[first].tolist(), ends[first].tolist(), strict=True):
             if (ids := self.cache.get(word := text[a:b])) is None:
-                ids = self.cache[word] = merged(word.encode(), self.rank)
+                ids = merged(word.encode(), self.rank)
+                if b - a <= CACHE_CHARS:
+                    self.cache[word] = ids
             parts.append(ids)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         pool = np.fromiter((i for p in parts for i in p), np.int32, int(size.sum()))

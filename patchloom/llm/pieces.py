@@ -4,8 +4,11 @@ One bounded regular expression consumes a text from cut to cut: its alternatives
 stand in the order of the boundary's strength (end of text, blank line, line end,
 any character), each greedy up to the limit. Where a stronger boundary lies in
 the upper part of the target range it is taken, which leaves room for the lines
-that a piece shares with the one before. Offsets and shared lines are array
-functions; no text leaves the JVM.
+that a piece shares with the one before. The expression runs over a copy of the
+text, as long as it, in which every character of a blank line is a mark, so that
+one character on either side tells a boundary and nothing is looked for far
+behind. How strong a cut is, is read off the marks around it. Offsets and shared
+lines are array functions; no text leaves the JVM.
 """
 
 from __future__ import annotations
@@ -14,30 +17,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP_LINES = 2400, 5
-_BLANKS = r"[^\S\n]"
+#: What stands for a character of a blank line: a code point that is never assigned to a character. A blank is any white space but a line feed.
+MARK = "\ufdd0"
+_BLANK = r"[\p{IsWhite_Space}\x1c-\x1f\ufdd0&&[^\n]]"
+#: One blank after the other from the start of a line of which the rest is blank.
+_OF_BLANK_LINE = rf"(?:(?<![^\n])|\G(?!\A)){_BLANK}(?={_BLANK}*+(?:\n|\z))"
+
+
+def marked(text: Column) -> Column:
+    """The text with marks in its blank lines, as long as it was."""
+    return F.when(text.rlike(rf"(?:\A|\n){_BLANK}++(?:\n|\z)"), F.regexp_replace(text, _OF_BLANK_LINE, MARK)).otherwise(text)
 
 
 def cut_pattern(limit: int = LIMIT) -> str:
-    """The expression whose matches, one after the other, are the texts between cuts."""
-    blank = rf"(?:(?<=\n)(?={_BLANKS}*\n)|(?<=\n{_BLANKS}{{0,99}}\n)|(?=\n{_BLANKS}*(?:\n|\z)))"
+    """The expression whose matches in a marked text, one after the other, are what lies between cuts. No alternative tries a place that one before it has tried."""
+    blank = rf"(?:(?<=\n)(?:(?<=[\n{MARK}]\n)|(?=[\n{MARK}])|(?<=\A\n))|(?=\n(?:[\n{MARK}]|\z)))"
     line = r"(?:(?<=\n)|(?=\n))"
     low, target = limit // 2, limit * 7 // 8
-    return rf"(?s).{{1,{limit}}}\z|.{{{low},{target}}}{blank}|.{{1,{limit}}}{blank}|.{{{low},{target}}}{line}|.{{1,{limit}}}{line}|.{{1,{limit}}}"
-
-
-def boundary(text: Column, limit: int = LIMIT) -> Column:
-    """block, line or inside: the strongest boundary at which cuts alone can keep every piece within the limit."""
-    lines = F.split(text, "\n", -1)
-    blank = lambda x: x.rlike(r"^(?U)[\s\x1c-\x1f]*$")
-    start = F.struct(F.lit(-1).alias("now"), F.lit(0).alias("most"))
+    by = lambda at: rf".{{{low},{target}}}{at}|.{{{target + 1},{limit}}}{at}|.{{1,{low - 1}}}{at}"
+    return rf"(?s).{{1,{limit}}}+\z|{by(blank)}|{by(line)}|.{{1,{limit}}}"
 
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(blank(x), -1).otherwise(F.when(acc["now"] < 0, F.length(x)).otherwise(acc["now"] + 1 + F.length(x)))
-        return F.struct(now.cast("int").alias("now"), F.greatest(acc["most"], now).cast("int").alias("most"))
 
-    stretch = F.aggregate(lines, start, step)["most"]
-    longest = F.array_max(F.transform(lines, F.length))
-    return F.when(stretch <= limit, "block").when(longest <= limit, "line").otherwise("inside")
+def boundary(bodies: Column) -> Column:
+    """block, line or inside: the weakest of the cuts between marked pieces. Cuts inside a blank line tear no block, but a line."""
+    ends = F.transform(F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))), lambda x, i: F.concat(F.right(F.get(bodies, i), F.lit(2)), F.lit("|"), F.left(x, F.lit(2)), F.when((i == F.size(bodies) - 2) & (F.length(x) == 1), "$").otherwise("")))
+    torn = F.exists(ends, lambda e: e.rlike(rf"{MARK}\|{MARK}"))
+    at_blank = lambda e: e.rlike(rf"{MARK}\||(?:\A|[\n{MARK}])\n\||\n\|[\n{MARK}]|\|\n[\n{MARK}$]")
+    at_line = lambda e: e.rlike(r"\n\||\|\n")
+    return F.when(F.forall(ends, at_blank), "block").when(~torn & F.forall(ends, lambda e: at_blank(e) | at_line(e)), "line").otherwise("inside")
 
 
 def _breaks(text: Column) -> Column:
@@ -66,7 +73,10 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, lines: int = OVERLAP_LINES) ->
     over = chunks.where(F.length("text") > limit).select("chunk_id", "text", "start_line", "ingested_at")
     latest = F.max_by(F.struct("text", "start_line"), F.coalesce("ingested_at", F.lit(0).cast("timestamp")))
     one = over.groupBy("chunk_id").agg(latest.alias("x")).select("chunk_id", "x.*")
-    bodies = one.select("chunk_id", F.coalesce("start_line", F.lit(1)).alias("line"), boundary(F.col("text"), limit).alias("boundary"), F.regexp_extract_all("text", F.lit(cut_pattern(limit)), F.lit(0)).alias("bodies"))
+    cut = one.select("chunk_id", "text", F.coalesce("start_line", F.lit(1)).alias("line"), F.regexp_extract_all(marked(F.col("text")), F.lit(cut_pattern(limit)), F.lit(0)).alias("cuts"))
+    placed = cut.withColumn("at", F.aggregate("cuts", F.array(F.lit(1)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x)))))
+    own = F.transform("cuts", lambda x, i: F.substring("text", F.get("at", i), F.length(x)))
+    bodies = placed.select("chunk_id", "line", boundary(F.col("cuts")).alias("boundary"), own.alias("bodies"))
     before = F.aggregate("bodies", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + _breaks(x))))
     led = bodies.withColumn("above", before).withColumn("shared", F.transform("bodies", lambda x, i: _shared(F.col("bodies"), i, limit, lines)))
     each = led.select("chunk_id", "boundary", "line", "above", F.posexplode(F.arrays_zip("bodies", "shared")).alias("piece", "x"))

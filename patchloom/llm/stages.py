@@ -1,48 +1,5 @@
-"""Written stages between jobs, and joins whose broadcast is checked by size."""
+"""Written stages and checked broadcasts, as the whole library has them."""
 
-from __future__ import annotations
+from ..stages import BROADCAST_BYTES, keep, kept_bytes, light, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A written stage up to this many bytes on disk may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 24 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-def _own_folder() -> str:
-    global _OWN
-    if not _OWN:
-        _OWN = tempfile.mkdtemp(prefix="spark-")
-    return _OWN
-
-
-_OWN = ""
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write a stage to the shared folder and read it back: it is computed once, outlives executors and has no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def kept_bytes(df: DataFrame) -> int:
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-
-
-def light(kept: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A kept stage with a broadcast hint if its files are small enough, else as it is."""
-    return F.broadcast(kept) if kept_bytes(kept) <= most else kept
+__all__ = ["BROADCAST_BYTES", "keep", "kept_bytes", "light", "shared_folder"]

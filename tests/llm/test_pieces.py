@@ -22,6 +22,7 @@ def boundary(text: str, limit: int) -> str:
 def texts(limit: int) -> list[str | None]:
     rng = random.Random(3)
     out: list[str | None] = [None, "", "x" * limit, "x" * (limit + 1), "é\n" * limit, "\n" * (limit * 2), " " * (limit * 3), "😀" * (limit * 2 + 7)]
+    out += ["x" * limit + "\n" + " " * (limit + 9) + "\n" + "y" * limit, "x\n" * limit + " " * (limit + 9) + "\ny", "x\n" * limit + "\u00a0\u2003\x1c" * 120 + "\ny" * 30, "\n" + "x" * limit + "\n", " \n" + "x" * limit + "\n\t"]
     out += ["a" * limit + "\n\n" + "b" * limit, "a" * limit + "\n" + "b" * limit + "\n", "a" * (limit + 1) + "\n\nb", "\r\n".join(["word " * 3] * limit)]
     for _ in range(60):
         lines = ["" if rng.random() < 0.15 else "\t " if rng.random() < 0.05 else rng.choice("abñ量") * rng.randint(1, limit // rng.choice([1, 3, 9, 20])) for _ in range(rng.randint(5, 80))]

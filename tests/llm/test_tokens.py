@@ -49,6 +49,22 @@ def test_any_text(texts):
     assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_a_word_of_a_megabyte_takes_seconds(tokenizer):
+    import base64
+    import random
+    import time
+
+    rng, rank = random.Random(3), encode.ranks(encode.default_path())
+    raw = base64.b64encode(rng.randbytes(750_000))
+    began = time.perf_counter()
+    ids = encode.merged(raw, rank)
+    assert time.perf_counter() - began < 30 and len(raw) == 1_000_000
+    back = {i: b for b, i in rank.items()}
+    assert b"".join(back[i] for i in ids) == raw
+    word = "".join(c for c in raw[:9000].decode() if c.isalpha())
+    assert encode.merged(word.encode(), rank) == tokenizer.encode(word, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert encode.encode(none, "doc_id").count() == 0
