@@ -67,8 +67,14 @@ def change_counts(a: str, b: str) -> dict:
 
 def minimal_edits(a: str, b: str) -> list[dict]:
     """Line-range edits that lead from a to b; what is put in replaces the line after it."""
-    new = lines_of(b)
-    return [{"file": "buggy.py", "start": i + 1, "end": max(i + 1, j), "replacement": "\n".join(new[k:n])} for tag, i, j, k, n in opcodes(a, b) if tag != "equal"]
+    new, out = lines_of(b), []
+    blocks = difflib.SequenceMatcher(None, lines_of(a), new, autojunk=False).get_matching_blocks()
+    at = put = 0
+    for m in blocks:
+        if m.a > at or m.b > put:
+            out.append({"file": "buggy.py", "start": at + 1, "end": max(at + 1, m.a), "replacement": "\n".join(new[put : m.b])})
+        at, put = m.a + m.size, m.b + m.size
+    return out
 
 
 def unified(a: str, b: str, context: int = 2) -> list[str]:
@@ -102,89 +108,35 @@ def api_drift(a: str, b: str) -> float:
     return 1 - len(x & y) / len(x | y) if x | y else 0.0
 
 
-def _chain(node: ast.AST) -> str:
-    parts = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return ".".join(reversed([*parts, node.id] if isinstance(node, ast.Name) else parts))
-
-
-class _Facts:
-    """One walk over a tree: findings that a call alone shows, and what the later rules ask for."""
-
-    def __init__(self, tree: ast.Module):
-        self.found: list[tuple[str, int]] = []
-        self.names: set[str] = set()
-        self.quantum: dict[str, int] = {}
-        self.classical: set[str] = set()
-        self.circuits: dict[str, bool] = {}
-        self.tails: set[str] = set()
-        self.backend = self.executes = False
-        self.tree = tree
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Assign):
-                for name in (t.id for t in node.targets if isinstance(t, ast.Name)):
-                    self.assigned(name, node.value)
-            elif isinstance(node, ast.Call):
-                self.called(node)
-
-    def assigned(self, name: str, value: ast.AST) -> None:
-        self.names.add(name)
-        self.backend |= name.lower() == "backend"
-        if not isinstance(value, ast.Call):
-            return
-        maker, args = _chain(value.func), value.args
-        number = args[0].value if args and isinstance(args[0], ast.Constant) and isinstance(args[0].value, int) else None
-        if maker.endswith(("QuantumRegister", "ClassicalRegister")) and args:
-            if number is not None and maker.endswith("QuantumRegister"):
-                self.quantum[name] = number
-            elif number is not None:
-                self.classical.add(name)
-        elif maker.endswith("QuantumCircuit"):
-            sized = len(args) >= 2 and any(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in args)
-            self.circuits[name] = sized or any(isinstance(a, ast.Name) and a.id in self.classical for a in args)
-        else:
-            self.backend |= "backend" in maker.lower()
-
-    def called(self, node: ast.Call) -> None:
-        chain = _chain(node.func)
-        tail, line = chain.rsplit(".", 1)[-1], node.lineno
-        self.tails.add(tail)
-        if tail == "execute" and ("qiskit" in chain or chain == "execute"):
-            self.executes = True
-            self.found.append(("QC04", line))
-        texts = [k.value for k in node.keywords if k.arg == "backend"] + list(node.args)
-        self.found += [("QC05", line) for t in texts if isinstance(t, ast.Constant) and isinstance(t.value, str) and t.value in OLD_BACKENDS]
-        if tail == "get_data":
-            self.found.append(("QC06", line))
-        on = node.func.value if isinstance(node.func, ast.Attribute) else None
-        if isinstance(on, ast.Name) and on.id in self.circuits:
-            if not tail.startswith("_") and tail not in GATES | ATTRIBUTES:
-                self.found.append(("QC10", line))
-            if tail in INDEXED:
-                for a in node.args:
-                    if isinstance(a, ast.Constant) and isinstance(a.value, int) and any(a.value >= size for size in self.quantum.values()):
-                        self.found.append(("QC09", line))
-
-
-def findings(text: str) -> list[tuple[str, int]] | None:
-    """Rule and line of each static finding, those of single calls first; None for a text that can't be parsed."""
+FACT = "struct<kind:string,line:int,target:string,chain:string,ints:array<int>,texts:array<string>,names:array<string>,backend:string,args:int>"
+
+
+def facts_of(text: str) -> list[dict] | None:
+    """What a text states, in the parser's order: names bound, calls, attributes of plain names; None where it can't be parsed. Judging them is left to the rules."""
     tree, _ = parse(text)
     if tree is None:
         return None
-    f = _Facts(tree)
-    measured = bool(f.tails & {"measure", "measure_all", "measure_active"})
-    out = list(f.found)
-    if "get_counts" in f.tails and not measured:
-        out.append(("QC01", 1))
-    if measured:
-        out += [("QC02", 1) for has in f.circuits.values() if not has]
-    if (f.executes or "run" in f.tails) and not f.backend and not re.search(r"backend\s*=", "\n".join(lines_of(text))):
-        out.append(("QC03", 1))
-    loose = (n for n in ast.walk(tree) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id in {"qc", "qr", "cr", "circuit"} - f.names)
-    if (first := next(loose, None)) is not None:
-        out.append(("QC08", first.lineno))
+    constants = lambda nodes, kind: [n.value for n in nodes if isinstance(n, ast.Constant) and type(n.value) is kind and (kind is str or abs(n.value) < 1 << 31)]
+    out: list[dict] = []
+
+    def state(kind: str, line: int, target: str | None, call: ast.AST | None) -> None:
+        args = call.args if isinstance(call, ast.Call) else []
+        given = [k.value for k in call.keywords if k.arg == "backend"] if isinstance(call, ast.Call) else []
+        chain = ast.unparse(call.func) if isinstance(call, ast.Call) else None
+        out.append({
+            "kind": kind, "line": line, "target": target, "chain": chain, "ints": constants(args, int), "texts": constants(args, str),
+            "names": [a.id for a in args if isinstance(a, ast.Name)], "backend": next(iter(constants(given, str)), None), "args": len(args),
+        })
+
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Assign):
+            for t in n.targets:
+                if isinstance(t, ast.Name):
+                    state("bound", n.lineno, t.id, n.value)
+        elif isinstance(n, ast.Call):
+            state("call", n.lineno, n.func.value.id if isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name) else None, n)
+        elif isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name):
+            state("attribute", n.lineno, n.value.id, None)
     return out
 
 
@@ -233,21 +185,58 @@ def diffs(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
     return per_row(df, keys, [before, after], make, "diff string, edits int, rows int")
 
 
-def analysed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, ast_ok, findings (array of rule and line as "rule:line")."""
+#: What each rule reports (fixed values).
+MESSAGES = {
+    "QC01": "counts are read but nothing is measured", "QC02": "a circuit without classical bits is measured", "QC03": "a job is run without a backend",
+    "QC04": "execute is deprecated", "QC05": "outdated backend name", "QC06": "get_data is no result method", "QC08": "a name is used that nothing is bound to",
+    "QC09": "an index lies beyond a register", "QC10": "no such gate",
+}
 
-    def make(t: str) -> dict:
-        f = findings(t)
-        return {"ast_ok": f is not None, "findings": [f"{r}:{n}" for r, n in f or []]}
 
-    return per_row(df, keys, [text], make, "ast_ok boolean, findings array<string>")
+def analysed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, ast_ok, findings (array of rule, line, message, severity): the static rules as filters over the facts of each text.
+
+    A text that can't be parsed has no findings and ast_ok false. Rules of single
+    calls come first, in the order of their lines, then those of the whole text.
+    """
+    c = F.col
+    given = per_row(df.withColumn("_named", c(text).rlike(r"backend\s*=")), [*keys, "_named"], [text], lambda t: {"facts": facts_of(t)}, f"facts array<{FACT}>")
+    tail = lambda f: F.element_at(F.split(f["chain"], r"\."), -1)
+    of = lambda kind, test: F.filter("facts", lambda f: (f["kind"] == kind) & F.coalesce(test(f), F.lit(False)))
+    made = lambda ending: of("bound", lambda f: f["chain"].endswith(ending))
+    sized = F.filter(made("QuantumRegister"), lambda f: F.size(f["ints"]) > 0)
+    out = given.withColumn("_sizes", F.transform(sized, lambda f: f["ints"][0])).withColumn("_circuits", made("QuantumCircuit"))
+    out = out.withColumn("_classical", F.transform(F.filter(made("ClassicalRegister"), lambda f: F.size(f["ints"]) > 0), lambda f: f["target"]))
+    out = out.withColumn("_on", F.transform("_circuits", lambda f: f["target"])).withColumn("_bound", F.transform(of("bound", lambda f: F.lit(True)), lambda f: f["target"]))
+    out = out.withColumn("_tails", F.transform(of("call", lambda f: F.lit(True)), tail))
+    found = lambda rule, facts: F.transform(facts, lambda f: F.struct(F.lit(rule).alias("rule"), f["line"].alias("line")))
+    once = lambda rule, test: F.when(test, F.array(F.struct(F.lit(rule).alias("rule"), F.lit(1).alias("line")))).otherwise(F.array().cast("array<struct<rule:string,line:int>>"))
+    measured = F.arrays_overlap("_tails", F.array(*map(F.lit, ("measure", "measure_all", "measure_active"))))
+    executes = of("call", lambda f: (tail(f) == "execute") & (f["chain"].contains("qiskit") | (f["chain"] == "execute")))
+    old = [F.lit(x) for x in sorted(OLD_BACKENDS)]
+    outdated = of("call", lambda f: f["backend"].isin(*old) | F.arrays_overlap(f["texts"], F.array(*old)))
+    on_circuit = lambda test: of("call", lambda f: F.array_contains("_on", f["target"]) & test(f))
+    unknown = on_circuit(lambda f: ~tail(f).startswith("_") & ~tail(f).isin(*sorted(GATES | ATTRIBUTES)))
+    beyond = on_circuit(lambda f: tail(f).isin(*sorted(INDEXED)) & F.exists(f["ints"], lambda i: F.exists("_sizes", lambda n: i >= n)))
+    single = F.array_sort(F.concat(*(found(r, f) for r, f in (("QC04", executes), ("QC05", outdated), ("QC06", of("call", lambda f: tail(f) == "get_data")), ("QC09", beyond), ("QC10", unknown)))),
+        lambda x, y: F.when(x["line"] < y["line"], -1).when(x["line"] > y["line"], 1).when(x["rule"] < y["rule"], -1).when(x["rule"] > y["rule"], 1).otherwise(0))
+    bare = F.filter("_circuits", lambda f: ~(((f["args"] >= 2) & (F.size(f["ints"]) > 0)) | F.arrays_overlap(f["names"], F.col("_classical"))))
+    backend = F.exists(of("bound", lambda f: F.lit(True)), lambda f: (F.lower(f["target"]) == "backend") | F.coalesce(F.lower(f["chain"]).contains("backend"), F.lit(False)))
+    loose = F.filter("facts", lambda f: (f["kind"] == "attribute") & f["target"].isin("qc", "qr", "cr", "circuit") & ~F.array_contains("_bound", f["target"]))
+    whole = F.concat(
+        once("QC01", F.array_contains("_tails", "get_counts") & ~measured), F.when(measured, F.transform(bare, lambda f: F.struct(F.lit("QC02").alias("rule"), F.lit(1).alias("line")))).otherwise(once("", F.lit(False))),
+        once("QC03", ((F.size(executes) > 0) | F.array_contains("_tails", "run")) & ~backend & ~c("_named")), found("QC08", F.slice(loose, 1, 1)),
+    )
+    message = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
+    findings = F.transform(F.concat(single, whole), lambda x: F.struct(x["rule"].alias("rule"), x["line"].alias("line"), message[x["rule"]].alias("message"), F.lit("warning").alias("severity")))
+    return out.select(*keys, c("facts").isNotNull().alias("ast_ok"), F.coalesce(findings, F.array().cast("array<struct<rule:string,line:int,message:string,severity:string>>")).alias("findings"))
 
 
 def guarded(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
-    """keys, parses, interface_kept: the guards that need a parser; a text without a run function has no interface to keep."""
+    """keys, parses, parse_error, interface_kept: the guards that need a parser; a text without a run function has no interface to keep."""
 
     def make(a: str, b: str) -> dict:
-        old = interfaces(a)
-        return {"parses": parse(b)[0] is not None, "interface_kept": not old or old == interfaces(b)}
+        old, (tree, error) = interfaces(a), parse(b)
+        return {"parses": tree is not None, "parse_error": error, "interface_kept": not old or old == interfaces(b)}
 
-    return per_row(df, keys, [before, after], make, "parses boolean, interface_kept boolean")
+    return per_row(df, keys, [before, after], make, "parses boolean, parse_error string, interface_kept boolean")

@@ -48,12 +48,29 @@ def size_change(edits: Column) -> Column:
     return F.aggregate(filled(edits), F.lit(0), lambda acc, e: acc + F.abs(F.size(split_lines(e["replacement"])) - span(e)))
 
 
+def common_ends(a: Column, b: Column) -> Column:
+    """head, tail: how many lines two arrays of lines share at their start, and how many of the others at their end."""
+    shortest = F.least(F.size(a), F.size(b))
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False))
+    until = lambda at: F.when(at == 0, shortest).otherwise(F.least((at - 1).cast("int"), shortest))
+    head, tail = until(same(a, b)), until(same(F.reverse(a), F.reverse(b)))
+    return F.struct(head.alias("head"), F.least(tail, shortest - head).alias("tail"))
+
+
+def changed_lines(a: Column, b: Column, ends: Column) -> Column:
+    """Lines of a, from 1, between the ends it shares with b that don't stand between b's ends; lines that are only put in change none."""
+    middle = F.slice(b, ends["head"] + 1, F.greatest(F.size(b) - ends["head"] - ends["tail"], F.lit(0)))
+    places = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)))
+    return F.filter(places, lambda i: (i > ends["head"]) & (i <= F.size(a) - ends["tail"]) & ~F.array_contains(middle, F.get(a, i - 1)))
+
+
 def has_overlap(edits: Column) -> Column:
     """Do two edits touch a line both? Such edits depend on their order."""
     e = filled(edits)
     return F.exists(F.sequence(F.lit(1), F.greatest(F.size(e), F.lit(1))), lambda i: F.exists(F.slice(e, i + 1, F.greatest(F.size(e) - i, F.lit(0))), lambda x: (x["start"] <= F.get(e, i - 1)["end"]) & (F.get(e, i - 1)["start"] <= x["end"])))
 
 
+# Fixed values from here on: patterns and messages of the guards without a parser.
 def registers(text: Column, kind: str) -> Column:
     """Names to which a register of the kind (Quantum or Classical) is assigned."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(\w+)\s*=\s*{kind}Register\("), F.lit(1)))

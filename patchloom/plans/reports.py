@@ -66,10 +66,12 @@ def q_value_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_rule_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Cases per rule, and the first six of them by id; the list is part of the report, the count is over all."""
+    """Cases per rule, and the first six of them by id, found in 64 parts side by side; the list is part of the report, the count is over all."""
     each = _cases(spark, d, "qchecker_rules").where("qchecker_rules <> ''").select("case_id", F.explode(F.split("qchecker_rules", ",")).alias("rule")).distinct()
-    r = ranks.ranked(each, F.left("case_id", F.lit(2)), [F.col("case_id")], ["rule"])
-    return r.groupBy("rule").agg(F.count("*").alias("cases"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rank") <= 6, F.col("case_id")))), ", ").alias("first_cases"))
+    part = each.withColumn("part", F.pmod(F.xxhash64("case_id"), F.lit(64)))
+    six = lambda ids: F.slice(F.sort_array(ids), 1, 6)
+    parts = part.groupBy("rule", "part").agg(F.count("*").alias("n"), six(F.collect_list("case_id")).alias("ids"))
+    return parts.groupBy("rule").agg(F.sum("n").alias("cases"), F.array_join(six(F.flatten(F.collect_list("ids"))), ", ").alias("first_cases"))
 
 
 def q_rule_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +123,7 @@ def q_latency(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("rank") - 1
     pick = lambda i: F.max(F.when(at == i, F.col("wall_time_s")))
     return sorted_rows.groupBy("method").agg(
-        F.count("*").alias("n"), _mean("wall_time_s").alias("mean"), pick(F.floor(F.col("total") / 2)).alias("median"), F.min("wall_time_s").alias("least"), F.max("wall_time_s").alias("most"),
+        F.count("*").alias("n"), _mean("wall_time_s").alias("mean"), F.round(F.sum("wall_time_s"), 3).alias("total_s"), pick(F.floor(F.col("total") / 2)).alias("median"), F.min("wall_time_s").alias("least"), F.max("wall_time_s").alias("most"),
         pick(F.floor(0.95 * (F.col("total") - 1))).alias("p95"),
     )
 
@@ -151,19 +153,22 @@ def q_json_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", (F.get_json_object("props", "$.k").try_cast("int") % 10).alias("k")).agg(F.count("*").alias("n"))
 
 
-def q_chat_prompt(spark: SparkSession, d: str) -> DataFrame:
-    """Each case's exemplars as one flat chat: a user turn and an assistant turn each, in order, and an open last turn."""
-    donors = latest(table(spark, d, "donor_exemplars"), ["donor_id"], ["case_id", "buggy_chunk", "fixed_chunk"])
-    said = lambda who, c: F.concat(F.lit(f"{who}:\n"), F.coalesce(c, F.lit("")), F.lit("\n"))
-    turn = F.concat(said("USER", "buggy_chunk"), said("ASSISTANT", "fixed_chunk"))
-    flat = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("donor_id", turn.alias("turn")))), lambda x: x["turn"]), "")
-    return donors.groupBy("case_id").agg(F.md5(F.concat(flat, F.lit("ASSISTANT:"))).alias("prompt_md5"), F.count("*").alias("turns"))
+def q_loose_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means over a field of JSON in which what is no number counts as 0, and totals of what is."""
+    n = F.get_json_object("props", "$.k").try_cast("double")
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(F.coalesce(n, F.lit(0.0))) + 1e-9, 6).alias("mean"), F.round(F.sum(n), 4).alias("total"), F.count("*").alias("n"))
+
+
+def q_ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The test cases in the order of their ids, each with its path, and where it stands in that order."""
+    some = _cases(spark, d, "split", "buggy_path").where(_split(F.col("split")) == "test")
+    return ranks.ranked(some.select("case_id", "buggy_path"), F.left("case_id", F.lit(12)), [F.col("case_id")]).select("case_id", "buggy_path", F.col("rank").alias("place"))
 
 
 def queries() -> dict:
     every = (
         q_hash_split, q_split_counts, q_percent_subset, q_profile_by_split, q_profile_by_group, q_value_counts, q_rule_counts, q_rule_sets, q_effectiveness, q_rollup_means, q_defect_rates, q_strata, q_latency,
-        q_winner, q_template_order, q_split_members, q_json_props, q_chat_prompt,
+        q_winner, q_template_order, q_split_members, q_json_props, q_loose_means, q_ordered_lookup,
     )
     return {f.__name__: f for f in every}
 
@@ -192,10 +197,11 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT DISTINCT unnest(injected) AS defect FROM synthetic_benchmark_report) SELECT defect, coalesce(injected, 0) AS injected, coalesce(fixed, 0) AS fixed, coalesce(round(fixed / injected, 6), 0) AS rate FROM k LEFT JOIN i USING (defect) LEFT JOIN x USING (defect)""",
         "q_strata": r + """ SELECT n_injected, count(*) AS n, round(avg(lines_f1) + 1e-9, 6) AS mean, coalesce(round(avg(lines_f1) FILTER (lines_f1 > 0) + 1e-9, 6), 0) AS mean_positive, count(*) FILTER (lines_f1 > 0) AS positive, round(count(*) FILTER (lines_f1 > 0) / count(*), 6) AS positive_rate FROM r GROUP BY n_injected""",
         "q_latency": r + """, l AS (SELECT method, list(wall_time_s ORDER BY wall_time_s, id) AS t FROM r WHERE wall_time_s IS NOT NULL GROUP BY method)
-            SELECT method, len(t) AS n, round(list_avg(t) + 1e-9, 6) AS mean, t[len(t) // 2 + 1] AS median, list_min(t) AS least, list_max(t) AS most, t[floor(0.95 * (len(t) - 1))::INT + 1] AS p95 FROM l""",
+            SELECT method, len(t) AS n, round(list_avg(t) + 1e-9, 6) AS mean, round(list_sum(t), 3) AS total_s, t[len(t) // 2 + 1] AS median, list_min(t) AS least, list_max(t) AS most, t[floor(0.95 * (len(t) - 1))::INT + 1] AS p95 FROM l""",
         "q_winner": r + " SELECT method, round(avg(lines_f1) + 1e-9, 6) AS mean, round(avg((lines_f1 > 0)::INT), 6) AS positive_rate FROM r GROUP BY method ORDER BY mean DESC, positive_rate DESC, method LIMIT 1",
         "q_template_order": r + " SELECT lower(trim(template)) AS template, count(*) AS n, round(avg(lines_f1) + 1e-9, 6) AS mean FROM r WHERE template IS NOT NULL GROUP BY 1",
         "q_split_members": c + f", i AS (SELECT DISTINCT id AS case_id FROM synthetic_benchmark_report) SELECT i.case_id, CASE WHEN c.case_id IS NULL THEN 'missing' ELSE {split} END AS split FROM i LEFT JOIN c USING (case_id)",
         "q_json_props": "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL",
-        "q_chat_prompt": f"SELECT case_id, md5(string_agg('USER:' || chr(10) || coalesce(buggy_chunk, '') || chr(10) || 'ASSISTANT:' || chr(10) || coalesce(fixed_chunk, '') || chr(10), '' ORDER BY donor_id) || 'ASSISTANT:') AS prompt_md5, count(*) AS turns FROM {S.DONORS} GROUP BY case_id",
+        "q_loose_means": "SELECT event_type, round(avg(coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0)) + 1e-9, 6) AS mean, round(sum(try_cast(json_extract_string(props, '$.k') AS DOUBLE)), 4) AS total, count(*) AS n FROM events GROUP BY event_type",
+        "q_ordered_lookup": c + f" SELECT case_id, buggy_path, row_number() OVER (ORDER BY case_id) AS place FROM c WHERE {split} = 'test'",
     }

@@ -9,7 +9,7 @@ import pytest
 from patchloom.functions import tails
 from patchloom.functions import text as T
 from patchloom.operators import chunking, code, edits, proposals, ranks, retrieval, rewrite, statistics
-from patchloom.sources import files
+from patchloom.sources import files, tables
 from pyspark.sql import functions as F
 
 
@@ -51,12 +51,16 @@ CIRCUIT = "from qiskit import *\nq = QuantumRegister(2)\nc = ClassicalRegister(2
     ("backend = get('local_qasm_simulator')", {"QC05"}), ("r.get_data(1)", {"QC06"}), ("qc.h(0)", {"QC08"}), (CIRCUIT + "circ.h(5)", {"QC09"}), (CIRCUIT + "circ.foo(1)", {"QC10"}),
     (CIRCUIT + "circ.measure(q, c)", set()), ("x = 1", set()), ("", set()),
 ])
-def test_findings(text, rules):
-    assert {r for r, _ in code.findings(text)} == rules
+def test_findings(spark, text, rules):
+    r = code.analysed(spark.createDataFrame([(1, text)], "k int, text string"), ["k"], "text").first()
+    assert r.ast_ok and {f.rule for f in r.findings} == rules
+    assert all(f.message == code.MESSAGES[f.rule] and f.severity == "warning" for f in r.findings)
 
 
-def test_unparsable_text():
-    assert code.findings("def f(:") is None and code.parse("a\x00b")[0] is None and code.api_drift("def f(:", "x") == 0
+def test_unparsable_text(spark):
+    r = code.analysed(spark.createDataFrame([(1, "def f(:"), (2, None)], "k int, text string"), ["k"], "text").orderBy("k").collect()
+    assert [(x.ast_ok, x.findings) for x in r] == [(False, []), (True, [])]
+    assert code.facts_of("def f(:") is None and code.parse("a\x00b")[0] is None and code.api_drift("def f(:", "x") == 0
 
 
 def test_touched_lines_and_minimal_edits_restore():
@@ -198,6 +202,58 @@ def test_files(spark, tmp_path):
     assert "| a | train |" in files.markdown(members.where("case_id = 'a'"), "Members")
 
 
+def test_search_is_the_brute_force(spark):
+    """Ties, repeated terms, boosts, queries without terms and documents without tokens."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(f"d{i:03}", " ".join(rng.choice(words[: 1 + i % 12]) for _ in range(rng.randint(0, 9)))) for i in range(160)] + [("e1", None), ("e2", "qasm qasm qasm pulse")]
+    d = retrieval.documents(spark.createDataFrame(docs, "k string, t string"), "k", F.col("t"))
+    asked = [(q, rng.choice(words)) for q in range(6) for _ in range(4)]
+    ids = spark.createDataFrame([(q,) for q in range(7)], "q int")
+    terms = spark.createDataFrame(asked, "q int, term string")
+    for boost in (None, retrieval.lexicon_boost()):
+        got = {(r.q, r.pool_rank): (r.k, round(r.score, 9)) for r in retrieval.search(ids, terms, d, "q", "k", 5, boost).collect()}
+        scores = {(r.q, r.k): r.score for r in retrieval.bm25(terms, d, "q", "k").collect()}
+        own = {r.k: r.b for r in d.select("k", (boost if boost is not None else F.lit(0.0)).alias("b")).collect()}
+        for q in range(7):
+            best = sorted(((round(scores.get((q, k), 0.0) + own[k], 9), k) for k, _ in docs), reverse=True)[:5]
+            assert [got[q, i + 1] for i in range(5)] == [(k, s) for s, k in best]
+
+
+def test_latest_texts_moves_only_repeated_keys(spark):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", None, "p"), (None, 1, "n1"), (None, 2, "n2"), ("c", 1, None), ("t", 5, "u"), ("t", 5, "v")]
+    df = spark.createDataFrame(rows, "k string, ingested_at int, text string")
+    got = {r.k: r.text for r in tables.latest_texts(df, ["k"], ["text"]).collect()}
+    assert got == {r.k: r.text for r in tables.latest(df, ["k"], ["text"]).collect()} and got["a"] == "y" and got[None] == "n2" and len(got) == 5
+    assert tables.latest_texts(df.limit(0), ["k"], ["text"]).count() == 0
+
+
+def test_shared_ends_and_changed_lines(spark):
+    cases = [("a b c", "a x c", (1, 1), [2]), ("a b c", "a b c", (3, 0), []), ("a c", "a b c", (1, 1), []), ("a a", "a", (1, 0), [2]), ("a", "b c", (0, 0), [1]), ("a b c d", "a c b d", (1, 1), [])]
+    df = spark.createDataFrame([(x.split(), y.split()) for x, y, *_ in cases], "a array<string>, b array<string>").withColumn("e", edits.common_ends(F.col("a"), F.col("b")))
+    got = [((r.e.head, r.e.tail), r.c) for r in df.withColumn("c", edits.changed_lines(F.col("a"), F.col("b"), F.col("e"))).collect()]
+    assert got == [(ends, lines) for *_, ends, lines in cases]
+
+
+def test_roll_back_of_what_does_not_parse(spark):
+    good, bad = "from qiskit import execute\njob = execute(qc, backend=b)", "x = (\njob = execute(qc, backend=b)"
+    df = rewrite.rewritten(spark.createDataFrame([(1, good), (2, bad)], "k int, text string"), "text", trace=True)
+    out = {r.k: (r.kept, r.patched, r.rules) for r in rewrite.rolled_back(df.select("k", "text", "patched", "rules"), ["k"], "text").collect()}
+    assert out[1][0] and out[1][2] == ["R1", "R6"] and out[2] == (False, bad, [])
+    lines = {(r.k, r.rule, r.line): r.after for r in rewrite.applied_lines(df, ["k"]).collect()}
+    assert lines[1, "R1", 2] == "job = b.run(transpile(qc, b))" and lines[1, "R6", 1] == "from qiskit import transpile"
+
+
+def test_exact_flips_and_sizes(spark):
+    pairs = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 0.0), ("c", -1.0)], "g string, diff double")
+    assert {r.g: (r.n, r.p_one, r.p_two) for r in statistics.exact_flips(pairs, "g").collect()} == {"a": (3, 0.125, 0.25), "c": (1, 1.0, 1.0)}
+    many = spark.createDataFrame([(f"k{i}", float(i)) for i in range(20)], "k string, diff double")
+    assert {r.k: r.ratios for r in statistics.ratio_sizes(many, ("70/15/15", "80/10/10", "74/13/13", "99/1/0")).collect()} == {3: "70/15/15, 74/13/13", 2: "80/10/10", 1: "99/1/0"}
+    drawn = statistics.shuffled(many, "k", 30).groupBy("it").agg(F.collect_set("k").alias("ks"), F.max("rank").alias("last")).collect()
+    assert len(drawn) == 30 and all(len(r.ks) == 20 == r.last for r in drawn)
+    assert statistics.bootstrap(many, "k", 30).count() == 30
+
+
 def test_general_selection_starts_like_the_pair(spark):
     rng = random.Random(8)
     rows = []
