@@ -21,7 +21,7 @@ LIMIT, OVERLAP_LINES = 2400, 5
 MARK = "\ufdd0"
 _BLANK = r"[\p{IsWhite_Space}\x1c-\x1f\ufdd0&&[^\n]]"
 #: One blank after the other from the start of a line of which the rest is blank.
-_OF_BLANK_LINE = rf"(?:(?<![^\n])|\G(?!\A)){_BLANK}(?={_BLANK}*+(?:\n|\z))"
+_OF_BLANK_LINE = rf"(?:(?<![^\n])(?={_BLANK}++(?:\n|\z))|\G(?!\A)){_BLANK}"
 
 
 def marked(text: Column) -> Column:
@@ -40,7 +40,14 @@ def cut_pattern(limit: int = LIMIT) -> str:
 
 def boundary(bodies: Column) -> Column:
     """block, line or inside: the weakest of the cuts between marked pieces. Cuts inside a blank line tear no block, but a line."""
-    ends = F.transform(F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))), lambda x, i: F.concat(F.right(F.get(bodies, i), F.lit(2)), F.lit("|"), F.left(x, F.lit(2)), F.when((i == F.size(bodies) - 2) & (F.length(x) == 1), "$").otherwise("")))
+    none = F.lit("")
+
+    def around(x: Column, i: Column) -> Column:
+        before = F.concat(F.coalesce(F.right(F.get(bodies, i - 1), F.lit(1)), none), F.right(F.get(bodies, i), F.lit(2)))
+        after = F.concat(F.left(x, F.lit(2)), F.coalesce(F.left(F.get(bodies, i + 2), F.lit(1)), F.lit("$")))
+        return F.concat(F.right(before, F.lit(2)), F.lit("|"), F.left(after, F.lit(2)))
+
+    ends = F.transform(F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))), around)
     torn = F.exists(ends, lambda e: e.rlike(rf"{MARK}\|{MARK}"))
     at_blank = lambda e: e.rlike(rf"{MARK}\||(?:\A|[\n{MARK}])\n\||\n\|[\n{MARK}]|\|\n[\n{MARK}$]")
     at_line = lambda e: e.rlike(r"\n\||\|\n")
