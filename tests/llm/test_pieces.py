@@ -54,7 +54,7 @@ def test_pieces_restore_the_text(spark, limit):
         assert {p.boundary for p in parts} == {boundary(text, limit)}
         cuts = [len("".join(q.text.split("\n", q.shared_lines)[-1] for q in parts[: k + 1])) for k in range(len(parts) - 1)]
         if max(map(len, text.split("\n"))) > limit:
-            assert parts[0].boundary == "inside" or not text.strip()  # a blank line can be too long for a piece as well
+            assert parts[0].boundary == "inside" or not any(x.strip() for x in text.split("\n") if len(x) > limit)  # a blank line can be too long for a piece as well
             continue
         for at in cuts:
             at_line = text[at - 1] == "\n" or text[at] == "\n"
