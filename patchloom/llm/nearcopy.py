@@ -26,6 +26,8 @@ from .stages import keep, light
 
 #: 32 bands of 4 registers: a pair at similarity 0.7 stays apart in all bands with probability 0.00015, one at 0.1 meets in any with 0.003.
 BANDS, ROWS = 32, 4
+#: Contents that a task remembers so as not to sign them again; one signed twice changes nothing.
+SEEN = 1 << 20
 
 
 def signatures(grams: np.ndarray, bounds: np.ndarray, registers: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -79,6 +81,8 @@ def banded(chunks: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             grams, at = K.shingles(codes, starts, SHINGLE)
             content, n = K.set_hash(grams, at), np.diff(at)
             yield _batch(None, content, part.column("chunk_id"), part.column("repo_key"))
+            if len(seen) > SEEN:
+                seen.clear()
             new = np.array([n[i] > 0 and not (content[i] in seen or seen.add(content[i])) for i in range(n.size)], bool)
             if not new.any():
                 continue

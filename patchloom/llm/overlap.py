@@ -28,6 +28,8 @@ from .stages import keep, light
 #: Buckets of the table of evaluation runs (one byte each), and the parts it is merged in.
 BUCKETS, PARTS = 1 << 25, 64
 TRAIN, EVAL = 0, 1
+#: Contents that a task remembers so as not to list their runs again; one listed twice changes nothing.
+SEEN = 1 << 20
 
 
 def run_counts(chunks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -65,6 +67,8 @@ def rare_runs(chunks: DataFrame, table: np.ndarray, threshold: float = THRESHOLD
         for part, codes, starts in K.slices(batches, "text"):
             grams, at = K.shingles(codes, starts, SHINGLE)
             content, n = K.set_hash(grams, at), np.diff(at)
+            if len(seen) > SEEN:
+                seen.clear()
             side = part.column("side").to_numpy()
             first = np.array([n[i] > 0 and not ((key := (content[i], side[i])) in seen or seen.add(key)) for i in range(n.size)], bool)
             df = counts[(grams & np.uint64(counts.size - 1)).astype(np.int64)]
