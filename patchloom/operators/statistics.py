@@ -8,10 +8,14 @@ order of summation to round them alike.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import over_orders
 from .ranks import ranked
 
 ITERATIONS, SEED = 10_000, 7
@@ -222,11 +226,22 @@ def subsamples(pairs: DataFrame, key: str, sizes: DataFrame, iterations: int = I
     return sums.select("k", "it", F.round(F.col("s") / F.col("k"), 9).alias("mean"), normal_tail(signed_rank_z(F.col("n"), F.col("w_plus"), F.col("cubes"))).alias("p"))
 
 
+def _running_sums(table: pa.Table, orders: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """k, positive, s: over the orders, how often the sum of the first k pairs is positive, and the total of these sums."""
+    micro = table.column("micro").to_numpy()
+    positive, total = np.zeros(micro.size, np.int64), np.zeros(micro.size, np.int64)
+    for _, order in orders:
+        so_far = np.cumsum(micro[order])
+        positive += so_far > 0
+        total += so_far
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, micro.size + 1)), pa.array(positive), pa.array(total)], names=["k", "positive", "s"])
+
+
 def size_sweep(pairs: DataFrame, key: str, least: int = 4, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
     """k, positive, mean of the subsamples of every size from `least` to all pairs, from running sums over one order per iteration."""
-    so_far = F.sum(F.round(F.col("diff") * 1e6).cast("long")).over(Window.partitionBy("it").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    run = shuffled(pairs, key, iterations, seed + 3).select(F.col("rank").alias("k"), so_far.alias("s")).where(F.col("k") >= least)
-    return run.groupBy("k").agg(F.round(F.avg((F.col("s") > 0).cast("double")), 6).alias("positive"), F.round(F.avg(F.col("s") / F.col("k")) / 1e6 + 1e-9, 6).alias("mean"))
+    run = over_orders(pairs, key, {"micro": F.round(F.col("diff") * 1e6).cast("long")}, _running_sums, "k long, positive long, s long", iterations, seed + 3)
+    by_size = run.where(F.col("k") >= least).groupBy("k").agg(F.sum("positive").alias("positive"), F.sum("s").alias("s"))
+    return by_size.select("k", F.round(F.col("positive") / iterations, 6).alias("positive"), F.round(F.col("s") / F.col("k") / iterations / 1e6 + 1e-9, 6).alias("mean"))
 
 
 def value_ranks(df: DataFrame, key: str, value: str, by: list[str] | None = None) -> DataFrame:
