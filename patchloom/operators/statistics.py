@@ -213,17 +213,31 @@ def ratio_sizes(pairs: DataFrame, ratios: tuple[str, ...]) -> DataFrame:
     return sized.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("ratio")), ", ").alias("ratios"))
 
 
+def _ranked_prefixes(table: pa.Table, orders: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """k, it, s, n, w_plus, cubes of the first k pairs of each order, for every k of the column ks: sum, differences that aren't 0, their positive rank sum and ties."""
+    diff, ks = table.column("diff").to_numpy(), sorted(table.column("ks")[0].as_py())
+    sizes, code = np.unique(np.abs(diff), return_inverse=True)
+    zero, micro, up = int(sizes[0] == 0), np.rint(diff * 1e6).astype(np.int64), diff > 0
+    rows: list[tuple] = []
+    for it, order in orders:
+        m, pos, s, begin = np.zeros(sizes.size, np.int64), np.zeros(sizes.size, np.int64), 0, 0
+        for k in ks:
+            part = order[begin:k]
+            m += np.bincount(code[part], minlength=sizes.size)
+            pos += np.bincount(code[part[up[part]]], minlength=sizes.size)
+            s, begin = s + int(micro[part].sum()), k
+            some = m[zero:].astype(float)
+            w_plus = (pos[zero:] * (np.cumsum(some) - some + (some + 1) / 2)).sum()
+            rows.append((k, it, s, int(some.sum()), w_plus, (some**3 - some).sum()))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["k", "it", "s", "n", "w_plus", "cubes"])
+
+
 def subsamples(pairs: DataFrame, key: str, sizes: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
-    """k, it, mean, p: the first k pairs of each iteration's order, for every k of sizes; p is the signed ranks' one-sided p by the normal approximation, null without differences."""
-    first = shuffled(pairs, key, iterations, seed + 3).join(F.broadcast(sizes.select("k")), F.col("rank") <= F.col("k"))
-    by_size = first.groupBy("k", "it", F.abs("diff").alias("size")).agg(F.count("*").alias("m"), F.count_if(F.col("diff") > 0).alias("pos"), F.sum("diff").alias("s"))
-    before = F.coalesce(F.sum(F.when(F.col("size") > 0, F.col("m")).otherwise(0)).over(Window.partitionBy("k", "it").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = F.col("size") > 0
-    sums = by_size.withColumn("avg_rank", before + (F.col("m") + 1) / 2).groupBy("k", "it").agg(
-        F.sum("s").alias("s"), F.coalesce(F.sum(F.when(some, F.col("m"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(some, F.col("pos") * F.col("avg_rank"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(some, F.pow("m", F.lit(3)) - F.col("m"))), F.lit(0.0)).alias("cubes"),
-    )
-    return sums.select("k", "it", F.round(F.col("s") / F.col("k"), 9).alias("mean"), normal_tail(signed_rank_z(F.col("n"), F.col("w_plus"), F.col("cubes"))).alias("p"))
+    """k, it, mean, p: the first k pairs of each iteration's order, for every k of sizes; p is the signed ranks' one-sided p by the normal approximation, null without differences. Differences have six digits."""
+    with_sizes = pairs.crossJoin(F.broadcast(sizes.agg(F.collect_list("k").alias("ks"))))
+    schema = "k long, it long, s long, n long, w_plus double, cubes double"
+    sums = over_orders(with_sizes, key, {"diff": F.col("diff"), "ks": F.col("ks")}, _ranked_prefixes, schema, iterations, seed + 3).withColumn("k", F.col("k").cast("int"))
+    return sums.select("k", "it", F.round(F.col("s") / 1e6 / F.col("k"), 9).alias("mean"), normal_tail(signed_rank_z(F.col("n"), F.col("w_plus"), F.col("cubes"))).alias("p"))
 
 
 def _running_sums(table: pa.Table, orders: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:

@@ -114,7 +114,7 @@ def q_half_split(spark: SparkSession, d: str) -> DataFrame:
 
 def q_subsample(spark: SparkSession, d: str) -> DataFrame:
     """Subsamples of the sizes that the split ratios imply: shares of positive means and of significant ones, and the means' range."""
-    pairs = _pairs(spark, d)
+    pairs = _pairs(spark, d).where("case_id is not null")
     sizes = statistics.ratio_sizes(pairs, RATIOS)
     each = statistics.subsamples(pairs, "case_id", sizes).groupBy("k").agg(
         F.round(F.avg((F.col("mean") > 0).cast("double")) + 1e-9, 6).alias("positive"), F.round(F.avg(F.coalesce(F.col("p") < 0.05, F.lit(False)).cast("double")), 3).alias("significant"),

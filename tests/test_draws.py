@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 import pytest
@@ -48,10 +49,32 @@ def test_sweep_is_that_of_brute_force(spark, pairs):
     assert got == {k: (round(sum(sum(o[:k]) > 0 for o in orders) / 50, 6), pytest.approx(sum(sum(o[:k]) / k for o in orders) / 50, abs=1e-6)) for k in range(4, len(KEYS) + 1)}
 
 
+def test_subsamples_are_those_of_brute_force(spark, pairs):
+    diff = dict(zip(KEYS, DIFFS, strict=True))
+    sizes = spark.createDataFrame([(20, "b"), (7, "a"), (1, "c")], "k int, ratios string")
+    got = {(r.k, r.it): (r.mean, r.p) for r in statistics.subsamples(pairs, "k", sizes, 30, 3).collect()}
+    assert len(got) == 90
+    for k, it in got:
+        part = [diff[x] for x in order(it, 6)[:k]]
+        some = sorted(abs(x) for x in part if x)
+        rank = {s: some.index(s) + (some.count(s) + 1) / 2 for s in some}
+        n, var = len(some), len(some) * (len(some) + 1) * (2 * len(some) + 1) / 24 - sum(some.count(s) ** 3 - some.count(s) for s in rank) / 48
+        mean, p = got[k, it]
+        assert mean == pytest.approx(sum(part) / k, abs=1e-9)
+        assert p is None if not n else p == pytest.approx(math.erfc((sum(rank[abs(x)] for x in part if x > 0) - n * (n + 1) / 4) / math.sqrt(var) / math.sqrt(2)) / 2, abs=2e-7)
+
+
 def test_sweep_shuffles_no_draws(spark):
     many = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 7 - 3).cast("double").alias("diff"))
     assert shuffled_rows(spark, statistics.size_sweep(many, "k", 4, 400)) < 1000 * 400 / 5
 
 
+def test_subsamples_shuffle_no_draws(spark):
+    many = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 7 - 3).cast("double").alias("diff"))
+    sizes = spark.createDataFrame([(100, "a"), (200, "b")], "k int, ratios string")
+    assert shuffled_rows(spark, statistics.subsamples(many, "k", sizes, 400)) < 1000 * 400 / 5
+
+
 def test_no_pairs(spark, pairs):
-    assert statistics.size_sweep(pairs.limit(0), "k").count() == 0
+    sizes = spark.createDataFrame([(1, "a")], "k int, ratios string")
+    assert statistics.size_sweep(pairs.limit(0), "k").count() == statistics.subsamples(pairs.limit(0), "k", sizes).count() == 0
