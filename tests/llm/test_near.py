@@ -116,3 +116,22 @@ def test_path_keys(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(given)], "i int, p string")
     got = [r[0] for r in df.select("i", records.path_key(F.col("p")).alias("k")).orderBy("i").select("k").collect()]
     assert got == ["x/b.py"] * 3 + [None] * 4 + ["x/b.py"]
+
+
+def test_training_runs_are_those_of_the_bit_table(spark, chunks):
+    """In a table in which every run seems common, a training chunk lists only runs by which an evaluation chunk is found."""
+    placed = chunks.where("length(text) > 0 and chunk_id is not null").withColumn("side", F.when(F.col("chunk_id").like("k%"), overlap.TRAIN).otherwise(overlap.EVAL).cast("byte"))
+    table = spark.sparkContext.broadcast(overlap.run_counts(placed, 64))
+    listed = lambda side, bits: {(r.content, r.gram): r.place for r in overlap.rare_runs(placed.where(F.col("side") == side), table, bits=bits).where("gram is not null").collect()}
+    ours, every = listed(overlap.EVAL, None), listed(overlap.TRAIN, None)
+    marked = {g for _, g in ours}
+    bits = overlap.run_bits(spark.createDataFrame([(g,) for g in marked], "gram long"))
+    some = listed(overlap.TRAIN, bits)
+    assert some == {k: v for k, v in every.items() if k[1] in marked} and 0 < len(some) < len(every)
+
+
+def test_candidates_are_dropped_by_place(spark):
+    row = "gram long, place int, content long, n int"
+    ours = spark.createDataFrame([(7, 0, 1, 100), (8, 30, 1, 100), (9, 30, 2, 100), (9, 30, 2, 100), (None, None, 1, 100)], row)
+    theirs = spark.createDataFrame([(7, 5, 11, 100), (8, 30, 12, 100), (9, 2, 13, 70), (9, 2, 14, 69)], row)
+    assert {tuple(r) for r in overlap.candidates(ours, theirs).collect()} == {(1, 11)}
